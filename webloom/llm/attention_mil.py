@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.llm.common import fresh, named
-from webloom.llm.wordpieces import flat_bytes
+from webloom.llm.wordpieces import flat_bytes, frugal
 
 PASSAGE_BYTES = 640
 BUCKETS = 256
@@ -51,7 +51,7 @@ WIDTH = BUCKETS + _CLASSES + 1
 def passages(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first document, passages of each document, features by passage), some documents at a time."""
     raw, offsets = flat_bytes(text)
-    at_once, d, n = 2_000_000, 0, len(offsets) - 1
+    at_once, d, n = 1_000_000, 0, len(offsets) - 1
     while d < n:
         upto = max(d + 1, int(np.searchsorted(offsets, offsets[d] + at_once, "right")) - 1)
         yield d, *encode(raw[offsets[d] : offsets[upto]], offsets[d : upto + 1] - offsets[d])
@@ -162,7 +162,7 @@ def scorer(model: Model | None, mean: float):
         for text in batches:
             yield pa.array(score_batch(model, mean, text), pa.float64())
 
-    return F.arrow_udf(run, T.DoubleType())
+    return F.arrow_udf(frugal(run), T.DoubleType())
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_labelled: int = MAX_LABELLED) -> tuple[Model | None, float]:

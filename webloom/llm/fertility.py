@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.llm.common import fresh, named
-from webloom.llm.wordpieces import TOKENIZERS, byte_pieces, piece_csr, words_of
+from webloom.llm.wordpieces import byte_pieces, frugal, piece_csr, text_slices, TOKENIZERS, words_of
 
 #: Name and file of each vocabulary that measures.
 VOCABULARIES = {"pieces": f"{TOKENIZERS}/piece_bpe_32k.model", "bytes": f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"}
@@ -83,7 +83,7 @@ def measure(text: pa.Array, vocabularies: list[str]) -> list[tuple[np.ndarray, .
     return out
 
 
-def entropies(codes: np.ndarray, doc: np.ndarray, starts: np.ndarray, ids: np.ndarray, tokens: np.ndarray, at_once: int = 4_000_000) -> np.ndarray:
+def entropies(codes: np.ndarray, doc: np.ndarray, starts: np.ndarray, ids: np.ndarray, tokens: np.ndarray, at_once: int = 1_000_000) -> np.ndarray:
     """Entropy of the ids of each document; documents are in order. log2(n) - sum(c log2 c) / n."""
     total = np.zeros(len(tokens))
     ends = np.cumsum(tokens)
@@ -117,7 +117,8 @@ def measurer(vocabularies: dict[str, str]):
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, lang in batches:
-            measured = measure(text, list(vocabularies.values()))
+            parts = [measure(part, list(vocabularies.values())) for _, part in text_slices(text)]
+            measured = [tuple(map(np.concatenate, zip(*own))) for own in zip(*parts)] or [(np.zeros(0, np.int64), *[np.zeros(0)] * 3)] * len(vocabularies)
             unknown = [x not in BANDS for x in lang.to_pylist()]
             scripts = [script_of(text[i].as_py() or "") if u else None for i, u in enumerate(unknown)]
             fields = [pa.array(scripts, pa.string())]
@@ -126,7 +127,7 @@ def measurer(vocabularies: dict[str, str]):
                 fields.append(pa.StructArray.from_arrays([pa.array(tokens), *(pa.array(x, pa.float64(), mask=none) for x in rest)], fields=[pa.field(n, t) for n, t in zip(MEASURES.names, [pa.int64(), *[pa.float64()] * 3])]))
             yield pa.StructArray.from_arrays(fields, names=kind.names)
 
-    return F.arrow_udf(run, kind)
+    return F.arrow_udf(frugal(run), kind)
 
 
 def band_of(lang, script, vocabulary: str) -> list:

@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is an Arrow batch of documents. Its text is its sequence of words (runs of letters and
+A shard is a run of documents of SHARD_BYTES at most. Its text is its sequence of words (runs of letters and
 digits, lower case), as symbols of the benchmark's vocabulary; words that no test phrase has can be
 part of no match and, with document ends, become separators, and stretches between separators that
 are shorter than the shortest phrase hold no match and are left out. Over that text the shard builds
@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.llm.common import fresh, named
-from webloom.llm.wordpieces import flat_bytes, spans_of
+from webloom.llm.wordpieces import flat_bytes, frugal, spans_of, text_slices
 
 PHRASE = 8
 MIN_PHRASE = 4
 SAMPLE = 8
+#: Bytes of text to a shard, at most (a longer document is one).
+SHARD_BYTES = 8_000_000
 MAX_PHRASE_BYTES = 8_000_000
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -271,16 +273,17 @@ def find(text: pa.Array, phrases: Phrases) -> tuple[np.ndarray, ...]:
 def _finder(phrases):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in batches:
-            doc, start, end, items = find(text, phrases.value)
             out: list = [None] * len(text)
-            for i in np.unique(doc).tolist():
-                raw = np.frombuffer(text[i].as_py().encode(), np.uint8)
-                chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # characters before a byte
-                own = np.flatnonzero(doc == i)
-                out[i] = {"spans": [{"start": int(chars[start[k]]), "end": int(chars[end[k]])} for k in own], "items": sorted(set().union(*(items[k] for k in own)))}
+            for first, shard in text_slices(text, SHARD_BYTES):
+                doc, start, end, items = find(shard, phrases.value)
+                for i in np.unique(doc).tolist():
+                    raw = np.frombuffer(shard[i].as_py().encode(), np.uint8)
+                    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # characters before a byte
+                    own = np.flatnonzero(doc == i)
+                    out[first + i] = {"spans": [{"start": int(chars[start[k]]), "end": int(chars[end[k]])} for k in own], "items": sorted(set().union(*(items[k] for k in own)))}
             yield pa.array(out, pa.struct([("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.int64()))]))
 
-    return F.arrow_udf(run, SPANS)
+    return F.arrow_udf(frugal(run), SPANS)
 
 
 def _merge(spans: Column) -> Column:

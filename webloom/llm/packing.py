@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from webloom.llm.common import named, stored
-from webloom.llm.wordpieces import TOKENIZERS, piece_counts, words_of
+from webloom.llm.wordpieces import frugal, piece_counts, text_slices, TOKENIZERS, words_of
 
 WINDOW = 2048
 VOCABULARY = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -48,10 +48,13 @@ SCHEMA = "window_id long, position int, source string, doc_id long, doc_start in
 def token_counter(vocabulary: str):
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in batches:
-            words = words_of(text)
-            yield pa.array(words.sums(piece_counts(vocabulary, words.distinct)), pa.int64())
+            counts = [np.zeros(0, np.int64)]
+            for _, part in text_slices(text):
+                words = words_of(part)
+                counts.append(words.sums(piece_counts(vocabulary, words.distinct)))
+            yield pa.array(np.concatenate(counts), pa.int64())
 
-    return F.arrow_udf(count, T.LongType())
+    return F.arrow_udf(frugal(count), T.LongType())
 
 
 @dataclass(frozen=True)

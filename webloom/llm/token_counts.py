@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.llm.common import named, stored
-from webloom.llm.wordpieces import PATTERN, TOKENIZERS, tiktoken_model
+from webloom.llm.wordpieces import frugal, PATTERN, tiktoken_model, TOKENIZERS
 
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 HEAD = 400_000
@@ -38,7 +38,7 @@ def piece_counter(vocabulary: str):
         for words in batches:
             yield pa.array(np.fromiter((len(model.encode_ordinary(w)) for w in words.to_pylist()), np.int32, len(words)))
 
-    return F.arrow_udf(run, T.IntegerType())
+    return F.arrow_udf(frugal(run), T.IntegerType())
 
 
 def count_tokens(docs: DataFrame, *, vocabulary: str = VOCABULARY, head: int = HEAD) -> DataFrame:

@@ -4,8 +4,10 @@ distinct word. The tokeniser runs once per distinct word of a batch; documents o
 from __future__ import annotations
 
 import base64
+import ctypes
 import functools
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,6 +51,46 @@ def flat_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Bytes of text that a worker takes at once: its memory doesn't follow the size of batches.
+SLICE_BYTES = 4_000_000
+
+
+def text_slices(text: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first document, some documents of about ``most`` bytes at most); a longer text is alone."""
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    d = 0
+    while d < len(text):
+        upto = max(d + 1, int(np.searchsorted(size, size[d] + most, "right")) - 1)
+        yield d, text.slice(d, upto - d)
+        d = upto
+
+
+def settle() -> None:
+    """Give freed memory back to the system: a worker lives on and has neighbours."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def frugal(run):
+    """An Arrow iterator function that settles after every batch."""
+
+    def tidy(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            settle()
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(tidy(batches))
+        settle()
+
+    return wrapped
+
+
 def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true bytes; no run goes on into the next document."""
     if not len(inside):
@@ -135,7 +177,7 @@ def byte_pieces(vocabulary: str) -> np.ndarray:
 
 
 _COUNTS: dict[str, dict[str, int]] = {}
-_MOST_REMEMBERED = 300_000
+_MOST_REMEMBERED = 150_000
 
 
 def piece_counts(vocabulary: str, words: list[str]) -> np.ndarray:
