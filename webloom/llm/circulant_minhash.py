@@ -28,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.llm.common import MAX_BROADCAST_ROWS, named, sized, stored
-from webloom.llm.wordpieces import _SPACE, encode_runs, flat_bytes, spans_of
+from webloom.llm.wordpieces import encode_runs, flat_bytes, frugal, spans_of, text_slices, _SPACE
 
 SHINGLE = 3
 BANDS = 40
@@ -82,7 +82,7 @@ def pi(size: int, universe: int = UNIVERSE, seed: int = 5) -> np.ndarray:
     return np.concatenate([p, p[:size]])
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray, circle: np.ndarray, size: int, universe: int = UNIVERSE, at_once: int = 40_000) -> np.ndarray:
+def signatures(hashes: np.ndarray, offsets: np.ndarray, circle: np.ndarray, size: int, universe: int = UNIVERSE, at_once: int = 20_000) -> np.ndarray:
     """One row of ``size`` coordinates a document; universe where it has no shingle."""
     shift = np.uint64(64 - int(universe).bit_length() + 1)
     place = (hashes * _SIGMA >> shift).astype(np.int64)
@@ -115,37 +115,28 @@ def _bander(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         circle = pi(bands * rows)
         for text in batches:
-            hashes, offsets = shingles(text, width)
-            keys = band_keys(signatures(hashes, offsets, circle, bands * rows), bands, rows)
-            some = np.diff(offsets) > 0
+            keys, some = np.zeros((0, bands), np.int64), np.zeros(0, bool)
+            for _, part in text_slices(text):
+                hashes, offsets = shingles(part, width)
+                keys = np.concatenate([keys, band_keys(signatures(hashes, offsets, circle, bands * rows), bands, rows)])
+                some = np.concatenate([some, np.diff(offsets) > 0])
             ends = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel()))
 
-    return F.arrow_udf(run, T.ArrayType(T.LongType()))
+    return F.arrow_udf(frugal(run), T.ArrayType(T.LongType()))
 
 
 def _set_maker(width: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in batches:
-            hashes, offsets = shingles(text, width)
-            sets = [np.unique(hashes[a:b]) for a, b in zip(offsets, offsets[1:])]
-            yield pa.array([s.tobytes() for s in sets], pa.binary())
+            sets = [np.zeros(0, np.uint64)]
+            for _, part in text_slices(text):
+                hashes, offsets = shingles(part, width)
+                sets += (np.unique(hashes[a:b]) for a, b in zip(offsets, offsets[1:]))
+            ends = np.cumsum([len(s) for s in sets]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
 
-    return F.arrow_udf(run, T.BinaryType())
-
-
-def _jaccard():
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            out = np.zeros(len(left))
-            for i, (a, b) in enumerate(zip(left, right)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                out[i] = common / max(len(both) - common, 1)
-            yield pa.array(out)
-
-    return F.arrow_udf(run, T.DoubleType())
+    return F.arrow_udf(frugal(run), T.ArrayType(T.LongType()))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -234,17 +225,23 @@ def _with_first(rest: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The shingle set of each wanted document: sorted 64-bit hashes."""
+    """The shingle set of each wanted document: 64-bit hashes."""
     wanted = stored(wanted, "near-wanted")
     some = texts.join(sized(wanted, wanted.count()), "doc_id", "left_semi")
     return stored(some.select("doc_id", _set_maker(width)("text").alias("s")), "near-sets")
 
 
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays without repeats; the texts had a shingle each."""
+    common = F.size(F.array_intersect(a, b))
+    return common / (F.size(a) + F.size(b) - common)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     sized_ = pairs.join(b, "b").join(a, "a")
-    return sized_.select("a", "b", _jaccard()("sa", "sb").alias("j")).groupBy("a", "b").agg(F.max("j").alias("j"))
+    return sized_.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("j")).groupBy("a", "b").agg(F.max("j").alias("j"))
 
 
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
