@@ -387,17 +387,17 @@ def priority_order_chain(spark, sf):
 
 
 def _graph(spark, sf) -> tuple[DataFrame, list[str]]:
-    """Pages that link: a region to its nations, a nation back to its region and to the next nation."""
+    """Pages that link: a region to its nations, a nation back to its region and to the tenth nation on."""
     nation = t(spark, sf, "nation")
     link = lambda url: F.concat(F.lit('<a href="'), url, F.lit('">x</a>'))
     nat = lambda k: F.concat(F.lit("http://n.test/"), k.cast("string"))
     reg = lambda k: F.concat(F.lit("http://r.test/"), k.cast("string"))
     a = nation.groupBy("n_regionkey").agg(F.array_join(F.collect_list(link(nat(F.col("n_nationkey")))), "").alias("text")).select(reg(F.col("n_regionkey")).alias("url"), "text")
-    b = nation.select(nat(F.col("n_nationkey")).alias("url"), F.concat(link(reg(F.col("n_regionkey"))), link(nat(F.col("n_nationkey") + 1))).alias("text"))
+    b = nation.select(nat(F.col("n_nationkey")).alias("url"), F.concat(link(reg(F.col("n_regionkey"))), link(nat(F.col("n_nationkey") + 10))).alias("text"))
     return a.union(b), ["http://r.test/0"]
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'http://r.test/' || n_regionkey AS a, 'http://n.test/' || n_nationkey AS b FROM nation UNION SELECT 'http://n.test/' || n_nationkey, 'http://r.test/' || n_regionkey FROM nation UNION SELECT 'http://n.test/' || n_nationkey, 'http://n.test/' || (n_nationkey + 1) FROM nation),
+@query("""WITH RECURSIVE e AS (SELECT 'http://r.test/' || n_regionkey AS a, 'http://n.test/' || n_nationkey AS b FROM nation UNION SELECT 'http://n.test/' || n_nationkey, 'http://r.test/' || n_regionkey FROM nation UNION SELECT 'http://n.test/' || n_nationkey, 'http://n.test/' || (n_nationkey + 10) FROM nation),
 p AS (SELECT DISTINCT a AS url FROM e), f(url) AS (SELECT 'http://r.test/0' UNION SELECT e.b FROM f JOIN e ON e.a = f.url)
 SELECT url AS page_url FROM f JOIN p USING (url)""")
 def bfs_frontier(spark, sf):
