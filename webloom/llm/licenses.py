@@ -157,7 +157,7 @@ def scan(text: str) -> list[tuple[str, str]]:
         else:
             line = low if len(low) != len(text) else text  # some lower-case forms are longer
             line = line[b : (line.find("\n", b) + 1 or len(line) + 1) - 1]
-            found.append(("tag", " ".join(_EXPRESSION.match(line)[0].split())))
+            found.append(("tag", " ".join(_EXPRESSION.match(line)[0].rstrip(" \t-").split())))  # "-->" ends a comment
     return list(dict.fromkeys(found))
 
 
