@@ -227,8 +227,8 @@ class Engine:
             asked = stored(_union(parts), "asked")
             if keys:
                 seen = stored(_union([seen, *keys]).distinct(), "seen")
-            fetched = self.fetcher.fetch(asked.filter(_PENDING))
-            fetches += asked.filter(_PENDING).count()
+            fetched = stored(self.fetcher.fetch(asked.filter(_PENDING)), "fetched")  # once, whatever reads it
+            fetches += fetched.count()
             answered = []
             for name in [*names, None]:
                 rows = fetched.filter(F.col("step") == name) if name else fetched.filter(~F.col("step").isin(names))
