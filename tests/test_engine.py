@@ -1,10 +1,12 @@
 """Waves over stub corpora, and streams against batch."""
 
+import inspect
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+import webloom.engine
 from webloom.engine import Engine, Hook, Spider
 from webloom.errors import EngineFailure
 from webloom.plans.rules import Middleware, Settings
@@ -61,6 +63,18 @@ def test_hooks_pipelines_and_callbacks(spark):
     assert [(x.page_url, x.item) for x in r.items.collect()] == [("http://a/good", '{"N":3}')] and r.fetches == 1
 
 
+def test_a_crawl_goes_on_until_the_frontier_is_empty(spark, monkeypatch):
+    monkeypatch.setattr(webloom.engine, "FOLD", 2)
+    step = {"id": "parse", "impl": "dsl", "parse": {"fields": [{"name": "t", "source": "html", "selector_type": "css", "selector": ["p"]}]}}
+    urls = ["http://a/0", "http://a/gone"]
+    run = lambda **more: Engine(corpus(spark, [(urls[0], "<p>x")]), plain(concurrent_requests_per_domain=1)).run(spark, Spider("s", urls, rules=inline(step)), **more)
+    r = run(max_waves=1)  # what a bound leaves is given back
+    assert [x.page_url for x in r.items.collect()] == urls[:1] and [x.url for x in r.frontier.collect()] == urls[1:]
+    r = run()
+    assert inspect.signature(Engine.run).parameters["max_waves"].default is None and r.waves == 2
+    assert [x.page_url for x in r.items.collect()] == urls[:1] and [x.url for x in r.dead_letter.collect()] == urls[1:] and r.frontier.count() == 0
+
+
 def test_unknown_middleware_even_if_off(spark):
     s = plain(middlewares={"nope": Middleware(enabled=False)})
     with pytest.raises(EngineFailure, match="unknown middleware key: nope"):

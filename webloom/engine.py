@@ -4,7 +4,8 @@ A wave takes all ready requests (at most so many a host), runs request hooks, fe
 hooks, dispatches to the step, filters items through the pipelines and puts follow requests on the
 frontier. State between waves is written to the shared folder, which cuts the lineage and survives
 lost executors. The driver sees only counts. The clock is virtual: it goes on to the next delayed
-request when nothing is ready.
+request when nothing is ready. A crawl goes on until the frontier is empty; one that max_waves or
+shutdown ends before that gives what is left as Result.frontier.
 """
 
 from __future__ import annotations
@@ -155,6 +156,7 @@ class Result:
     waves: int
     rounds: int
     fetches: int
+    frontier: DataFrame  #: What max_waves or shutdown left undone, else empty.
 
 
 class Engine:
@@ -189,7 +191,7 @@ class Engine:
         """No wave begins after this."""
         self._stop = True
 
-    def run(self, spark: SparkSession, spider: Spider, *, max_waves: int = 100, now_ms: int = 0) -> Result:
+    def run(self, spark: SparkSession, spider: Spider, *, max_waves: int | None = None, now_ms: int = 0) -> Result:
         rules = spider.compiled()
         steps = {s.id: s for s in rules.steps} if rules else {}
         names = sorted({*steps, "parse"})
@@ -200,7 +202,8 @@ class Engine:
         items, log, dead = [], [], []
         last: dict[tuple[str, str], list[int]] = {}
         waves = rounds = fetches = 0
-        while waves < max_waves and not self._stop:
+        top = len(seeds)  # all numbers so far are below
+        while (max_waves is None or waves < max_waves) and not self._stop:
             todo = ops.ready(queue, now_ms)
             if todo.isEmpty():
                 nxt = queue.agg(F.min("ready_at_ms")).first()[0]
@@ -256,25 +259,26 @@ class Engine:
                 made = _union(out_items).join(failed.select("seq"), "seq", "left_anti").drop("seq")
                 for stage in self.pipelines:
                     made = stage(made)
-                items.append(stored(made, "items"))
+                _add(items, stored(made, "items"), "items")
             again = _union([asked.filter("flow = 'retry'").select(*_KEPT), answers.filter("flow = 'retry'").select(*_KEPT)])
             again = ops.rescheduled(again, now_ms, F.col("flow_reason"), F.col("backoff_ms")).select(*FRONTIER.names)
             back = todo.join(failed, "seq").withColumn("nacks", F.col("nacks") + 1).withColumn("priority", F.lit(-1))
-            dead.append(stored(back.filter(F.col("nacks") > self.settings.max_nacks).select("url", "step", "kind", "message"), "dead"))
+            _add(dead, stored(back.filter(F.col("nacks") > self.settings.max_nacks).select("url", "step", "kind", "message"), "dead"), "dead")
             parts = [waiting.select(*FRONTIER.names), again, back.filter(F.col("nacks") <= self.settings.max_nacks).select(*FRONTIER.names)]
             if out_requests:
                 follow = _union(out_requests).join(failed.select("seq"), "seq", "left_anti")
                 follow = stored(ops.allowed_domains(follow, spider.allowed_domains), "follow")
-                log.append(follow.select("src_url", "link_name", "url", "meta"))
+                _add(log, follow.select("src_url", "link_name", "url", "meta"), "log")
                 by = ("seq", "link_index", "value_index")  # numbers go up in this order, without one task that sees all
-                numbered = follow.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("seq", F.monotonically_increasing_id() + F.lit(waves * 2**52))
+                numbered = follow.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("seq", F.monotonically_increasing_id() + F.lit(top))
                 base = spark.createDataFrame([], FRONTIER)
                 fill = {c.name: F.lit(None).cast(c.dataType) for c in FRONTIER.fields if c.name not in numbered.columns}
                 parts.append(numbered.withColumns(fill | {"method": F.lit("GET"), "dont_filter": F.lit(False), "priority": F.lit(0), "nacks": F.lit(0)}).select(*base.columns))
             rounds += answers.filter(f"({_PENDING}) AND error IS NULL").join(failed.select("seq"), "seq", "left_anti").count()
             queue = stored(_union(parts), "frontier")
+            top = max(top, (queue.agg(F.max("seq")).first()[0] or 0) + 1)
         empty = spark.createDataFrame([], ITEMS)
-        return Result(_union(items) if items else empty, _union(log) if log else spark.createDataFrame([], "src_url string, link_name string, url string, meta map<string,string>"), _union(dead) if dead else spark.createDataFrame([], "url string, step string, kind string, message string"), waves, rounds, fetches)
+        return Result(_all(items) if items else empty, _all(log) if log else spark.createDataFrame([], "src_url string, link_name string, url string, meta map<string,string>"), _all(dead) if dead else spark.createDataFrame([], "url string, step string, kind string, message string"), waves, rounds, fetches, queue)
 
     def _both(self, chain):
         """The engine's own hooks go before the step's, whatever their orders."""
@@ -352,5 +356,22 @@ def _step_flow(rows: DataFrame, hook: Callable[[DataFrame], DataFrame]) -> DataF
     return out.select(*columns).unionByName(rows.filter("flow IS NOT NULL"))
 
 
+#: So many tables of as many waves are made one, lest the plan grow with the waves.
+FOLD = 16
+
+
+def _add(parts: list[tuple[int, DataFrame]], part: DataFrame, name: str) -> None:
+    size = 1
+    parts.append((size, part))
+    while sum(n == size for n, _ in parts) >= FOLD:
+        one = stored(_union(d for n, d in parts if n == size), name)
+        parts[:] = [p for p in parts if p[0] != size] + [(size * FOLD, one)]
+        size *= FOLD
+
+
+def _all(parts: list[tuple[int, DataFrame]]) -> DataFrame:
+    return _union(d for _, d in parts)
+
+
 def _union(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -405,7 +405,7 @@ def bfs_frontier(spark, sf):
 
     corpus, start = _graph(spark, sf)
     rules = {"type": "inline", "options": {"value": {"steps": [{"id": "parse", "impl": "dsl", "parse": {"fields": [field("n", "a", attribute="attr:href", multiple=True)], "links": [field("all", "a")]}}]}}}
-    result = Engine(CorpusFetcher(corpus), Settings(dedup=True, retry_times=0, max_nacks=0)).run(spark, Spider("graph", start, rules=rules), max_waves=60)
+    result = Engine(CorpusFetcher(corpus), Settings(dedup=True, retry_times=0, max_nacks=0)).run(spark, Spider("graph", start, rules=rules))
     return result.items.select("page_url")
 
 
