@@ -148,6 +148,16 @@ def test_expressions(expression, expected):
     assert licenses.allowed(expression) is expected
 
 
+@pytest.mark.parametrize(
+    ("line", "expected"),
+    [("MIT/GPL-3.0-only", "MIT/GPL-3.0-only"), ("MIT, GPL-3.0-only", "MIT, GPL-3.0-only"), ("MIT & GPL-3.0-only", "MIT & GPL-3.0-only"), ("LicenseRef_x", "LicenseRef_x"), ("MIT */ int x;", "MIT"), ("MIT #}", "MIT"), ("(MIT) -->", "(MIT)"), ("MIT\r", "MIT"), ('"MIT OR ISC",', "MIT OR ISC"), ("MIT   #", "MIT")],
+)
+def test_a_tag_takes_its_whole_line(line, expected):
+    assert licenses.scan(f"# SPDX-License-Identifier: {line}\nGPL") == [("tag", expected)]
+    assert (licenses.allowed(expected) is None) == any(x in expected for x in "/,&_")
+    assert licenses.scan(f'{{"SPDX-License-Identifier: {expected}", 1}}') == [("tag", expected)]
+
+
 def test_scans(spark):
     texts = [None, "", "nothing", "x\n# SPDX-License-Identifier: (MIT OR GPL-3.0-only) -->\n", LONG + " Released under the MIT License. MIT license", "GNU Lesser General Public License, version 3", "SPDX-License-Identifier: MIT AND", "CC BY-NC-SA 4.0 and cc by-nc 4.0"]
     got = {r.doc_id: (r.licenses, r.n_tags, r.n_notices, r.verdict) for r in licenses.scans(documents(spark, texts)).collect()}

@@ -1,7 +1,7 @@
 """Licence scans.
 
 One Aho-Corasick automaton finds identifier tags and notice phrases in every text, whatever its
-length. A tag's expression is read to the end of its line; a shunting-yard parser brings it to postfix
+length. A tag's expression is read to the end of its line, comment or quotation; a shunting-yard parser brings it to postfix
 (WITH binds before AND, AND before OR), which is evaluated against what is allowed. A document's
 licences must all be allowed: its expressions and notices are joined by AND.
 
@@ -55,7 +55,9 @@ ALLOWED_WITH = frozenset({("gpl-2.0-only", "classpath-exception-2.0"), ("gpl-2.0
 
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.:+-]*)")
-_EXPRESSION = re.compile(r"[\s(]*[A-Za-z0-9.:+()\t -]*")
+_LINE_END = re.compile(r"[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]|-->|\*/|#\}")
+_BORDER = re.compile(r"\s+[-#*/%;|]+$|-+$")  # of a comment; names no licence
+_QUOTES = ("'", '"', "`")
 
 
 def postfix(expression: str) -> list[str]:
@@ -142,6 +144,19 @@ def automaton():
     return a
 
 
+def expression_of(text: str, start: int, end: int) -> str:
+    """The whole expression after the tag at start to end, whatever it has; postfix says whether it is one."""
+    stop = _LINE_END.search(text, end)
+    line = text[end : stop.start() if stop else len(text)].strip()
+    before = text[max(start - 1, 0) : start]
+    if before in _QUOTES and before:
+        line = line.partition(before)[0]  # the quotation that the tag is in
+    elif line[:1] in _QUOTES and line and line.rstrip(",;").endswith(line[0]):
+        line = line.rstrip(",;")[1:-1]
+    line = line.rstrip("".join(_QUOTES) + " \t")
+    return " ".join(_BORDER.sub("", line).split())
+
+
 def scan(text: str) -> list[tuple[str, str]]:
     """(kind, expression or identifier) of what a text says, in order of place, each once."""
     low = text.lower()
@@ -156,8 +171,7 @@ def scan(text: str) -> list[tuple[str, str]]:
             found.append(("notice", PHRASES[word]))
         else:
             line = low if len(low) != len(text) else text  # some lower-case forms are longer
-            line = line[b : (line.find("\n", b) + 1 or len(line) + 1) - 1]
-            found.append(("tag", " ".join(_EXPRESSION.match(line)[0].rstrip(" \t-").split())))  # "-->" ends a comment
+            found.append(("tag", expression_of(line, a, b)))
     return list(dict.fromkeys(found))
 
 
