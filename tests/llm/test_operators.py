@@ -158,6 +158,22 @@ def test_a_tag_takes_its_whole_line(line, expected):
     assert licenses.scan(f'{{"SPDX-License-Identifier: {expected}", 1}}') == [("tag", expected)]
 
 
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted", "BSD-3-Clause"),
+        ("/*\n * Subject to the Mozilla Public\n *\n * License, v. 2.0. */", "MPL-2.0"),
+        ("under the  MIT\tLicense", "MIT"),
+        ("the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or", "GPL-3.0-or-later"),
+        ("GNU Lesser General Public\r\nLicense as published by the Free Software Foundation; either version 2.1 of the License", "LGPL-2.1-or-later"),
+        ("GNU General Public License version 2 as published by the Free Software Foundation", "GPL-2.0-only"),
+    ],
+)
+def test_notices_over_lines(text, expected):
+    assert licenses.scan(text) == [("notice", expected)]
+    assert licenses.scan(f"x\n\n  y\n# SPDX-License-Identifier: ISC\n{text}") == [("tag", "ISC"), ("notice", expected)]
+
+
 def test_scans(spark):
     texts = [None, "", "nothing", "x\n# SPDX-License-Identifier: (MIT OR GPL-3.0-only) -->\n", LONG + " Released under the MIT License. MIT license", "GNU Lesser General Public License, version 3", "SPDX-License-Identifier: MIT AND", "CC BY-NC-SA 4.0 and cc by-nc 4.0"]
     got = {r.doc_id: (r.licenses, r.n_tags, r.n_notices, r.verdict) for r in licenses.scans(documents(spark, texts)).collect()}

@@ -1,7 +1,8 @@
 """Licence scans.
 
 One Aho-Corasick automaton finds identifier tags and notice phrases in every text, whatever its
-length. A tag's expression is read to the end of its line, comment or quotation; a shunting-yard parser brings it to postfix
+length. White space, with the line-comment marks that follow a line's end, counts as one space, so
+notices are found across lines. A tag's expression is read to the end of its line, comment or quotation; a shunting-yard parser brings it to postfix
 (WITH binds before AND, AND before OR), which is evaluated against what is allowed. A document's
 licences must all be allowed: its expressions and notices are joined by AND.
 
@@ -13,6 +14,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -50,11 +52,20 @@ PHRASES = {
     "all rights reserved": "LicenseRef-all-rights-reserved",
 }
 ALLOWED = frozenset({"apache-2.0", "mit", "mit-0", "bsd-2-clause", "bsd-3-clause", "0bsd", "isc", "zlib", "unlicense", "cc0-1.0", "cc-by-4.0", "bsl-1.0", "python-2.0"})
+#: Notices as the Free Software Foundation words them. The SQL doesn't know them.
+FSF_PHRASES = {
+    f"gnu {name} version {v} as published by the free software foundation" if by is None else f"gnu {name} as published by the free software foundation{by} version {v} of the license": f"{i}-{v if '.' in v else v + '.0'}-{'or-later' if by and 'either' in by else 'only'}"
+    for name, i, versions in (("general public license", "GPL", ("2", "3")), ("library general public license", "LGPL", ("2",)), ("lesser general public license", "LGPL", ("2.1", "3")), ("affero general public license", "AGPL", ("3",)))
+    for v in versions
+    for by in (None, ",", ";", ", either", "; either")
+}
+NOTICES = PHRASES | FSF_PHRASES
 #: Allowed only with the exception.
 ALLOWED_WITH = frozenset({("gpl-2.0-only", "classpath-exception-2.0"), ("gpl-2.0-or-later", "classpath-exception-2.0"), ("apache-2.0", "llvm-exception"), ("gpl-3.0-or-later", "gcc-exception-3.1")})
 
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.:+-]*)")
+_FOLD = re.compile(r"[^\S\n]*\n\s*(?:(?:[/*#;%>|!]+|--+|dnl\b|rem\b)\s*)*|[^\S\n]{2,}|[^\S\n ]")
 _LINE_END = re.compile(r"[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]|-->|\*/|#\}")
 _BORDER = re.compile(r"\s+[-#*/%;|]+$|-+$")  # of a comment; names no licence
 _QUOTES = ("'", '"', "`")
@@ -138,7 +149,7 @@ def automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for word in (*TAGS, *PHRASES):
+    for word in (*TAGS, *NOTICES):
         a.add_word(word, word)
     a.make_automaton()
     return a
@@ -157,21 +168,36 @@ def expression_of(text: str, start: int, end: int) -> str:
     return " ".join(_BORDER.sub("", line).split())
 
 
+def folded(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with each space of _FOLD as one, and after each fold its place there and here."""
+    parts, there, here, at, n = [], [], [], 0, 0
+    for m in _FOLD.finditer(text):
+        parts.append(text[at : m.start()])
+        n += m.start() - at + 1
+        at = m.end()
+        there.append(n)
+        here.append(at)
+    return " ".join([*parts, text[at:]]), there, here
+
+
 def scan(text: str) -> list[tuple[str, str]]:
     """(kind, expression or identifier) of what a text says, in order of place, each once."""
     low = text.lower()
-    hits = [(end - len(word) + 1, end + 1, word) for end, word in automaton().iter(low)]
+    flat, there, here = folded(low)
+    hits = [(end - len(word) + 1, end + 1, word) for end, word in automaton().iter(flat)]
     hits.sort(key=lambda h: (h[0], -h[1]))
     found, upto = [], 0
     for a, b, word in hits:
         if b <= upto:
             continue
         upto = max(upto, b)
-        if word in PHRASES:
-            found.append(("notice", PHRASES[word]))
+        if word in NOTICES:
+            found.append(("notice", NOTICES[word]))
         else:
             line = low if len(low) != len(text) else text  # some lower-case forms are longer
-            found.append(("tag", expression_of(line, a, b)))
+            k = bisect.bisect_right(there, a)  # a tag has no white space: one fold's shift is that of all of it
+            shift = here[k - 1] - there[k - 1] if k else 0
+            found.append(("tag", expression_of(line, a + shift, b + shift)))
     return list(dict.fromkeys(found))
 
 
@@ -200,7 +226,7 @@ def scans(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for tables without identifier tags, where a phrase is in no other."""
+    """DuckDB SQL for tables without identifier tags and FSF notices, where a phrase is in no other and on one line."""
     phrases = ", ".join("('{}', '{}', {})".format(p.replace("'", "''"), i, str(i.lower() in ALLOWED).lower()) for p, i in PHRASES.items())
     return f"""
 WITH phrase(p, id, ok) AS (VALUES {phrases}),
