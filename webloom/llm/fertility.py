@@ -8,12 +8,14 @@ those of its words, so nothing is shuffled and one pass over the text is enough.
 
 Defined cases: null and blank texts have 0 tokens, null measures and are rejected ("empty");
 documents of fewer than ``min_tokens`` tokens are judged by no band; a null or unknown language is
-judged by the band of its text's script, else by ``DEFAULT_BAND``; repeated rows are judged alike;
+judged by the band of its text's script (by entropy alone if the script has none), without letters by
+``DEFAULT_BAND``; repeated rows are judged alike;
 an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
@@ -51,14 +53,20 @@ BANDS: dict[str, dict[str, Band]] = {
     "es": {"pieces": Band(1.4, 8.0, 0.02, 0.6), "bytes": Band(1.6, 8.0, 0.15, 0.6)},
 }
 #: By script, for languages without bands: (first, last code point) of its letters.
-SCRIPTS = {"latin": (0x41, 0x24F), "greek": (0x370, 0x3FF), "cyrillic": (0x400, 0x52F), "arabic": (0x600, 0x6FF), "devanagari": (0x900, 0x97F), "han": (0x4E00, 0x9FFF)}
+SCRIPTS = {"latin": (0x41, 0x24F), "greek": (0x370, 0x3FF), "cyrillic": (0x400, 0x52F), "arabic": (0x600, 0x6FF), "devanagari": (0x900, 0x97F), "indic": (0x980, 0xDFF), "hebrew": (0x590, 0x5FF), "thai": (0xE00, 0xE7F), "kana": (0x3040, 0x30FF), "hangul": (0xAC00, 0xD7A3), "han": (0x4E00, 0x9FFF)}
 SCRIPT_BANDS = {
-    "latin": Band(1.7, 8.0, 0.05, 0.45),
+    "latin": Band(1.1, 8.0, 0.35, 0.45),
     "greek": Band(0.4, 8.0, 0.6, 0.4),
     "cyrillic": Band(0.5, 8.0, 0.4, 0.4),
     "arabic": Band(0.4, 8.0, 0.7, 0.4),
     "devanagari": Band(0.3, 8.0, 0.9, 0.3),
+    "indic": Band(0.3, 8.0, 1.0, 0.25),
+    "hebrew": Band(0.4, 8.0, 0.7, 0.25),
+    "thai": Band(0.3, 8.0, 0.9, 0.25),
+    "kana": Band(0.3, 8.0, 0.9, 0.25),
+    "hangul": Band(0.3, 8.0, 0.9, 0.25),
     "han": Band(0.3, 4.0, 0.9, 0.4),
+    "other": Band(0.0, math.inf, 1.0, 0.25),  # neither vocabulary may have the script: entropy alone
 }
 
 MEASURES = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("chars_per_token", T.DoubleType()), T.StructField("byte_share", T.DoubleType()), T.StructField("entropy", T.DoubleType())])
@@ -105,9 +113,11 @@ def entropies(codes: np.ndarray, doc: np.ndarray, starts: np.ndarray, ids: np.nd
 
 
 def script_of(text: str) -> str | None:
-    """The script that most of the letters of a text are of."""
+    """The script that most of the letters of a text are of; "other": one that SCRIPTS hasn't."""
     found = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     counts = {name: int(((found >= a) & (found <= b)).sum()) for name, (a, b) in SCRIPTS.items()}
+    points, times = np.unique(found[found > 0x24F], return_counts=True)
+    counts["other"] = sum(n for p, n in zip(points.tolist(), times.tolist()) if chr(p).isalpha() and not any(a <= p <= b for a, b in SCRIPTS.values()))
     most = max(counts, key=lambda s: counts[s])
     return most if counts[most] else None
 
