@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import fresh, named
+from webloom.llm.common import fresh, named, small_batches
 from webloom.llm.wordpieces import flat_bytes, frugal
 
 PASSAGE_BYTES = 640
@@ -168,6 +168,7 @@ def scorer(model: Model | None, mean: float):
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_labelled: int = MAX_LABELLED) -> tuple[Model | None, float]:
     """The model, or None with the score that then holds for all. Encoded passages, not texts, come
     to the driver: at most max_labelled documents of them."""
+    small_batches(docs.sparkSession)
     chosen = (
         labels.select(named(labels, "doc_id").alias("doc_id"), named(labels, label).cast("double").alias("y"))
         .dropna()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import named, shared_dir, stored
+from webloom.llm.common import named, shared_dir, small_batches, stored
 
 BLOCK_LINES = 1000
 #: Captures to a part of the index.
@@ -106,6 +106,7 @@ def body_of(member: bytes) -> bytes:
 
 def archive(pages: DataFrame, folder: str) -> DataFrame:
     """Write the pages; their captures as CAPTURE."""
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import MAX_BROADCAST_ROWS, named, sized, stored
+from webloom.llm.common import MAX_BROADCAST_ROWS, named, sized, small_batches, stored
 from webloom.llm.wordpieces import encode_runs, flat_bytes, frugal, spans_of, text_slices, _SPACE
 
 SHINGLE = 3
@@ -187,6 +187,7 @@ def _iterate(edges: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """doc_id, group_id for every document that has a duplicate; group_id is the least doc_id."""
+    small_batches(docs.sparkSession)
     texts = docs.select(named(docs, "doc_id").cast("long").alias("doc_id"), named(docs, "text").alias("text")).filter("text is not null and doc_id is not null")
     # a copy is one by the exact text; node: the least doc_id with that text
     hashed = texts.select("doc_id", F.sha2(F.when(F.trim(F.translate("text", "\t\n\r\f\x0b", "     ")) == "", F.lit("")).otherwise(F.col("text")).cast("binary"), 256).alias("h"), _bander(width, bands, rows)("text").alias("keys"))

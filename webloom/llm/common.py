@@ -44,6 +44,18 @@ def sized(df: DataFrame, rows: int, most: int = MAX_BROADCAST_ROWS) -> DataFrame
     return F.broadcast(df) if rows <= most else df
 
 
+#: Bytes of an Arrow batch on its way to a worker, unless the session says otherwise. Spark's own 64 MB
+#: are held several times over, by the JVM and by the worker, for each task.
+BATCH_BYTES = 4_000_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by BATCH_BYTES in a session that has Spark's default."""
+    if spark.conf.get(_BATCH_CONF, "64m") in ("64m", "64MB", "67108864", "67108864b"):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import fresh, named
+from webloom.llm.common import fresh, named, small_batches
 from webloom.llm.wordpieces import byte_pieces, frugal, piece_csr, text_slices, TOKENIZERS, words_of
 
 #: Name and file of each vocabulary that measures.
@@ -172,6 +172,7 @@ def verdict(m, lang, vocabularies: dict[str, str], min_tokens: int):
 
 def judge(docs: DataFrame, *, vocabularies: dict[str, str] = VOCABULARIES, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """One row a document: doc_id, lang, the measures by vocabulary, keep, reasons."""
+    small_batches(docs.sparkSession)
     rows = docs.select(named(docs, "doc_id").alias("doc_id"), named(docs, "lang").cast("string").alias("lang"), named(docs, "text").alias("text"))
     rows = rows.select("doc_id", "lang", measurer(vocabularies)("text", "lang").alias("m"))
     out = rows.withColumn("reasons", verdict(F.col("m"), F.col("lang"), vocabularies, min_tokens))
@@ -181,6 +182,7 @@ def judge(docs: DataFrame, *, vocabularies: dict[str, str] = VOCABULARIES, min_t
 
 def kept(docs: DataFrame, *, vocabularies: dict[str, str] = VOCABULARIES, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """The documents that no rule rejects, with all their columns."""
+    small_batches(docs.sparkSession)
     m = fresh(docs, "measures")
     out = docs.withColumn(m, measurer(vocabularies)(named(docs, "text"), named(docs, "lang").cast("string")))
     return out.filter(F.size(verdict(out[m], named(out, "lang").cast("string"), vocabularies, min_tokens)) == 0).select(*(named(out, c) for c in docs.columns))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import fresh, named
+from webloom.llm.common import fresh, named, small_batches
 from webloom.llm.wordpieces import flat_bytes, frugal, spans_of, text_slices
 
 PHRASE = 8
@@ -295,6 +295,7 @@ def _merge(spans: Column) -> Column:
 def marked(docs: DataFrame, benchmark: DataFrame, name: str, *, phrase: int = PHRASE, min_phrase: int = MIN_PHRASE, max_bytes: int = MAX_PHRASE_BYTES) -> DataFrame:
     """docs with a column of SPANS, null where there is none."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(named(benchmark, "item_id").cast("long").alias("i"), named(benchmark, "text").alias("t")).filter("t is not null and i is not null").distinct()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = -(-size // max_bytes)

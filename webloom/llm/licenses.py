@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from webloom.llm.common import named
+from webloom.llm.common import named, small_batches
 
 TAGS = ("spdx-license-identifier:", "license-expression:")
 #: Notice phrase (lower case) to identifier.
@@ -204,6 +204,7 @@ def scan(text: str) -> list[tuple[str, str]]:
 def scans(docs: DataFrame) -> DataFrame:
     """doc_id, licenses (sorted, joined by AND), n_tags, n_notices, verdict (allowed, denied,
     invalid) for each document that names a licence."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, licenses string, n_tags int, n_notices int, verdict string"
     rows = docs.select(named(docs, "doc_id").cast("long").alias("doc_id"), named(docs, "text").alias("text"))
 

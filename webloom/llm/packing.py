@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from webloom.llm.common import named, stored
+from webloom.llm.common import named, small_batches, stored
 from webloom.llm.wordpieces import frugal, piece_counts, text_slices, TOKENIZERS, words_of
 
 WINDOW = 2048
@@ -108,6 +108,7 @@ def pack(docs: DataFrame, *, targets: dict[str, float] | None = None, window: in
     """One row for each piece of a document in a window: SCHEMA. Queue order: bucket of the
     document's hash, then doc_id."""
     spark = docs.sparkSession
+    small_batches(spark)
     counted = docs.select(
         named(docs, "doc_id").cast("long").alias("doc_id"),
         F.coalesce(named(docs, queue).cast("string"), F.lit("")).alias("source"),

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import named
+from webloom.llm.common import named, small_batches
 
 ROLES = ("system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant"}
@@ -121,6 +121,7 @@ def render(turns: list[tuple[str, str]]) -> str:
 def formatted(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns (before), n_repaired, cost, edits (what was done, but keep), chat."""
     c = conversations
+    small_batches(c.sparkSession)
     rows = c.select(named(c, "conv_id").cast("long").alias("conv_id"), F.struct(named(c, "turn").cast("long").alias("turn"), named(c, "role").cast("string").alias("role"), named(c, "text").cast("string").alias("text")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns")).select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import named, stored
+from webloom.llm.common import named, small_batches, stored
 from webloom.llm.wordpieces import frugal, PATTERN, tiktoken_model, TOKENIZERS
 
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -43,6 +43,7 @@ def piece_counter(vocabulary: str):
 
 def count_tokens(docs: DataFrame, *, vocabulary: str = VOCABULARY, head: int = HEAD) -> DataFrame:
     """doc_id, n_tokens."""
+    small_batches(docs.sparkSession)
     rows = docs.select(named(docs, "doc_id").alias("doc_id"), named(docs, "text").alias("text"))
     pieces = F.regexp_extract_all("text", F.lit(JAVA_PATTERN), F.lit(0))
     words = rows.select(F.explode(pieces).alias("w")).groupBy("w").agg(F.count("*").alias("n"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import named
+from webloom.llm.common import named, small_batches
 from webloom.llm.wordpieces import flat_bytes
 
 DENY = (
@@ -160,6 +160,7 @@ def _judge(deny, allow):
 
 def judged(pages: DataFrame, *, deny=DENY, allow=ALLOW) -> DataFrame:
     """page_id, url (canonical), denied_by (the first such rule), keep."""
+    small_batches(pages.sparkSession)
     rows = pages.select(named(pages, "page_id").alias("page_id"), canonical(named(pages, "url")).alias("url"))
     rows = rows.withColumn("m", _judge(tuple(deny), tuple(allow))("url"))
     reason = F.when(F.col("url").isNull(), F.lit("null")).when(F.col("m.denied_by").isNotNull(), F.col("m.denied_by"))
