@@ -5,19 +5,23 @@ shingles over [0, UNIVERSE), pi is one permutation of it, and coordinate k is th
 pi[(sigma(x) + k) mod UNIVERSE], that is pi shifted circularly by k. BANDS bands of ROWS coordinates
 give candidates; the exact Jaccard similarity of their shingle sets decides.
 
-Groups are the connected components of the pairs that share a band and reach the threshold. Exact
-copies are one node from the start. So that a bucket of n copies does not cost n * n comparisons,
-buckets are resolved in rounds: every member is compared with one centre of its bucket, members that
-are thereby in one component need no more comparisons among themselves, and a bucket that holds one
-component is done. After STAR_ROUNDS rounds all pairs of a bucket whose components still differ are
-compared, so the result is that of comparing all candidates.
+Groups are the connected components of the pairs that share a band and reach the threshold. Copies of
+a text are one node from the start, the text's least doc_id, and only that row is banded. So that a
+bucket of n texts does not cost n * n comparisons, buckets are resolved in rounds. In the first every
+member is compared with the bucket's least document. In the next ones a bucket whose members are not
+yet in one component goes on: a small one (SMALL_BUCKET members at most) with the pairs of different
+components, which finishes it; a larger one with the pairs of a member and one of CENTRES centres of
+other components. A centre that has met all members leaves the bucket. When no bucket is left, every pair
+of a bucket was compared or is in one component, so the result is that of comparing all candidates.
+No bucket is brought together in one task: least documents, components and centres are aggregates
+that combine before they move, and the rows of a hot bucket, text or centre are spread.
 
 Shingles are runs of SHINGLE lower-case words (a shorter text is one shingle), as 64-bit hashes.
 
 Defined cases: a null text is a duplicate of nothing; blank texts are copies of each other; rows with
 the same doc_id are one document where their texts are the same, and where they are not the document
-belongs to the groups of all of them; of a group the least doc_id stays; an empty table gives no rows;
-rows with a null doc_id belong to no group and stay.
+belongs to the groups of all of them, which thereby are one; of a group the least doc_id stays; an
+empty table gives no rows; rows with a null doc_id belong to no group and stay.
 """
 
 from __future__ import annotations
@@ -31,8 +35,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from webloom.llm.common import MAX_BROADCAST_ROWS, named, sized, small_batches, stored
+from webloom.llm.common import MAX_BROADCAST_ROWS, named, sized, small_batches, spread, stored
 from webloom.llm.wordpieces import encode_runs, flat_bytes, frugal, spans_of, text_slices, _SPACE
 
 SHINGLE = 3
@@ -40,7 +45,10 @@ BANDS = 40
 ROWS = 4
 UNIVERSE = 1 << 20
 THRESHOLD = 0.5
-STAR_ROUNDS = 3
+SMALL_BUCKET = 64
+CENTRES = 8
+#: Pairs of a document, at least, for which its shingle set is sent to several tasks.
+HOT_PAIRS = 10_000
 #: Edges that one task may join into components; beyond it the components are iterated over the cluster.
 MAX_LOCAL_EDGES = 3_000_000
 
@@ -171,8 +179,8 @@ def _iterate(edges: DataFrame) -> DataFrame:
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     e, before = edges.select("a", "b").distinct(), None
     while True:
-        least = both(e).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both(e).filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        least = stored(both(e).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), "near-least")
+        large = spread(both(e).filter("b > a"), least, "a", "n", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         m = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(m, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m")), F.struct(F.col("b").alias("a"), F.col("m")))).alias("x")).select(F.col("x.a").alias("a"), F.col("x.m").alias("b")).filter("a != b").distinct()
@@ -185,50 +193,53 @@ def _iterate(edges: DataFrame) -> DataFrame:
     return labels.union(labels.select(F.col("label").alias("node"), "label").distinct())
 
 
-def groups(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def groups(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, small: int = SMALL_BUCKET, centres: int = CENTRES) -> DataFrame:
     """doc_id, group_id for every document that has a duplicate; group_id is the least doc_id."""
     small_batches(docs.sparkSession)
     texts = docs.select(named(docs, "doc_id").cast("long").alias("doc_id"), named(docs, "text").alias("text")).filter("text is not null and doc_id is not null")
     # a copy is one by the exact text; node: the least doc_id with that text
     hashed = texts.select("doc_id", F.sha2(F.when(F.trim(F.translate("text", "\t\n\r\f\x0b", "     ")) == "", F.lit("")).otherwise(F.col("text")).cast("binary"), 256).alias("h"), _bander(width, bands, rows)("text").alias("keys"))
     signed = stored(hashed.withColumn("h", F.unhex("h")), "near-signatures")
-    nodes = signed.groupBy("h").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    copies = stored(signed.select("doc_id", "h").join(nodes.filter("copies > 1"), "h").select("doc_id", "node").distinct(), "near-copies")
-    first = signed.join(copies.filter("doc_id != node").select("doc_id"), "doc_id", "left_anti")
+    own = stored(signed.groupBy("h", "doc_id").agg(F.count("*").alias("times")), "near-texts")
+    copied = stored(own.groupBy("h").agg(F.min("doc_id").alias("node"), F.count("*").alias("docs")).filter("docs > 1"), "near-copied")
+    copies = stored(spread(own.select("h", "doc_id"), copied, "h", "docs", "doc_id").select("h", "doc_id", "node"), "near-copies")
+    repeated = not own.filter("times > 1").isEmpty()
+    first = signed.join(copies.filter("doc_id != node").select("doc_id", "h"), ["doc_id", "h"], "left_anti")
+    first = first.dropDuplicates(["doc_id", "h"]) if repeated else first
+
     member = first.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.collect_set("doc").alias("docs")).filter(F.size("docs") > 1)
-    buckets = stored(shared.select("key", F.array_sort("docs").alias("docs")).dropDuplicates(["docs"]), "near-buckets")
-
-    found = copies.filter("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    wanted = buckets.select(F.explode("docs").alias("doc_id")).distinct()
-    sets = _sets(texts, wanted, width)
-    seen = None
-    for r in range(star_rounds + 1):
-        final = r == star_rounds
-        if r == 0:
-            pairs = buckets.select(F.explode(F.slice("docs", 2, F.size("docs") - 1)).alias("b"), F.col("docs")[0].alias("a")).select("a", "b").distinct()
-        else:
-            labels = components(found)
-            buckets = _open(buckets, labels)
-            if buckets.isEmpty():
-                break
-            pairs = _pairs(buckets, final, r).distinct()
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+    keys = member.groupBy("key").agg(F.min("doc").alias("centre"), F.max("doc").alias("most"), F.count("*").alias("n"))
+    keys = stored(keys.filter("centre != most").select("key", "centre", "n"), "near-keys")
+    members = stored(spread(member, keys, "key", "n", "doc").select("key", "doc", "centre"), "near-members")
+    sets = _sets(texts, members.select(F.col("doc").alias("doc_id")).distinct(), width, repeated)
+
+    # texts of one document are in one component
+    several = own.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1").select("doc_id")
+    found = stored(copies.filter("doc_id != node").join(several, "doc_id", "left_semi").select(F.col("node").alias("a"), F.col("doc_id").alias("b")), "near-bridges")
+    alive, pairs, seen, r = members.filter("doc != centre"), members.filter("doc != centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")), None, 0
+    while True:
+        pairs = pairs.distinct()
+        pairs = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), f"near-pairs{r}")
         checked = stored(_verify(pairs, sets), f"near-checked{r}")
         seen = checked.select("a", "b") if seen is None else seen.unionByName(checked.select("a", "b"))
-        found = stored(found.unionByName(checked.filter(F.col("j") >= threshold).select("a", "b")), f"near-edges{r}")
-    return components(found).filter("node != label").select(F.col("node").alias("doc_id"), F.col("label").alias("group_id")).distinct().transform(_with_first)
-
+        found = found.unionByName(checked.filter(F.col("j") >= threshold).select("a", "b"))
+        labels = stored(components(found), f"near-labels{r}")
+        r += 1
+        going_on = _open(alive.select("key", "doc"), labels, r, small, centres)
+        if going_on is None:
+            break
+        alive, pairs = going_on
 
-def _with_first(rest: DataFrame) -> DataFrame:
-    rest = stored(rest, "near-groups")
-    return rest.unionByName(rest.select(F.col("group_id").alias("doc_id"), "group_id").distinct())
+    per_node = stored(copied.groupBy("node").agg(F.sum("docs").alias("docs")).join(labels, "node", "left").select("node", "docs", F.coalesce("label", "node").alias("group_id")), "near-nodes")
+    of_copies = spread(copies.select("doc_id", "node"), per_node, "node", "docs", "doc_id").select("doc_id", "group_id")
+    return of_copies.unionByName(labels.select(F.col("node").alias("doc_id"), F.col("label").alias("group_id"))).distinct()
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The shingle set of each wanted document: 64-bit hashes."""
+def _sets(texts: DataFrame, wanted: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """The shingle sets of each wanted document's texts: 64-bit hashes."""
     wanted = stored(wanted, "near-wanted")
     some = texts.join(sized(wanted, wanted.count()), "doc_id", "left_semi")
+    some = some.dropDuplicates(["doc_id", "text"]) if repeated else some
     return stored(some.select("doc_id", _set_maker(width)("text").alias("s")), "near-sets")
 
 
@@ -239,38 +250,45 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, j. pairs are stored. b is in few pairs, but a may be in many: then its set goes to as many
+    tasks as its pairs ask for."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT_PAIRS).cast("int").alias("parts")).filter("parts > 1")
     a = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    sized_ = pairs.join(b, "b").join(a, "a")
-    return sized_.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("j")).groupBy("a", "b").agg(F.max("j").alias("j"))
-
-
-def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Buckets whose members are not yet all in one component, with the members' components."""
-    member = buckets.select("key", F.explode(_ids(buckets)).alias("doc"))
-    labelled = member.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    per = labelled.groupBy("key").agg(F.collect_list(F.struct("doc", "label")).alias("docs"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    return stored(per.filter("lo != hi").select("key", "docs"), "near-open")
-
-
-def _ids(buckets: DataFrame):
-    kind = buckets.schema["docs"].dataType.elementType
-    return F.col("docs.doc") if isinstance(kind, T.StructType) else F.col("docs")
-
-
-def _pairs(buckets: DataFrame, final: bool, r: int) -> DataFrame:
-    """Pairs of different components. Unless final: each member with one centre of every other
-    component would be the most; here each with the centre of the largest component it is not in."""
-    if final:
-        m = buckets.select("key", F.explode("docs").alias("x"))
-        left, right = m.select("key", F.col("x.doc").alias("a"), F.col("x.label").alias("la")), m.select("key", F.col("x.doc").alias("b"), F.col("x.label").alias("lb"))
-        return left.join(right, "key").filter("a < b and la != lb").select("a", "b")
-    m = buckets.select("key", F.explode("docs").alias("x")).select("key", "x.doc", "x.label")
-    heads = m.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("doc", F.xxhash64("doc", F.lit(r))).alias("head"))
-    tops = heads.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "label", "head"))), 1, 2).alias("top"))
-    j = m.join(tops, "key")
-    centre = F.when(F.col("top")[0]["label"] == F.col("label"), F.col("top")[1]["head"]).otherwise(F.col("top")[0]["head"])
-    return j.select(F.least("doc", centre).alias("a"), F.greatest("doc", centre).alias("b"))
+    n, on = parts.count(), ["a"]
+    if n:
+        hot = sized(stored(parts, "near-hot"), n)
+        salt = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int")
+        pairs = pairs.join(hot, "a", "left").select("a", "b", salt.alias("salt"))
+        a = a.join(hot, "a", "left").select("a", "sa", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+        on = ["a", "salt"]
+    met = pairs.join(b, "b").join(a, on)
+    return met.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("j")).groupBy("a", "b").agg(F.max("j").alias("j"))
+
+
+def _open(alive: DataFrame, labels: DataFrame, r: int, small: int, centres: int) -> tuple[DataFrame, DataFrame] | None:
+    """(members that go on after this round, pairs of this round) of the buckets whose members are not yet in one
+    component; None if there is none."""
+    labelled = alive.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
+    per = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+    per = stored(per.filter("lo != hi").select("key", "n"), f"near-open{r}")
+    if per.isEmpty():
+        return None
+    going = stored(spread(labelled, per, "key", "n", "doc"), f"near-going{r}")
+    few = going.filter(F.col("n") <= small).groupBy("key").agg(F.collect_list(F.struct("doc", "label")).alias("m"))
+    x = few.select("m", F.explode("m").alias("x"))
+    others = F.filter("m", lambda y: (y["doc"] > F.col("x.doc")) & (y["label"] != F.col("x.label")))
+    pairs = x.select(F.col("x.doc").alias("a"), F.explode(F.transform(others, lambda y: y["doc"])).alias("b"))
+    many = going.filter(F.col("n") > small)
+    if many.isEmpty():
+        return many, pairs
+    order = Window.partitionBy("key").orderBy(F.xxhash64("doc", F.lit(r)), "doc")  # a limit in each task comes before the shuffle
+    heads = many.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= centres)
+    heads = stored(heads.groupBy("key").agg(F.collect_list(F.struct("doc", "label")).alias("heads"), F.max("n").alias("n")), f"near-heads{r}")
+    met = stored(spread(many.select("key", "doc", "label"), heads, "key", "n", "doc"), f"near-met{r}")
+    h = met.select("doc", "label", F.explode("heads").alias("h")).filter("h.label != label")
+    pairs = pairs.unionByName(h.select(F.least("doc", "h.doc").alias("a"), F.greatest("doc", "h.doc").alias("b")))
+    return met.filter(~F.array_contains("heads.doc", F.col("doc"))), pairs
 
 
 def kept(docs: DataFrame, **options) -> DataFrame:

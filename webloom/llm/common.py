@@ -56,6 +56,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
+#: Rows of a key, at least, that make it hot; and hot keys, at most: a key is hot only beyond that share of all rows too.
+HOT_ROWS, HOT_KEYS = 100_000, 10_000
+_SALTS = 997
+
+
+def spread(left: DataFrame, right: DataFrame, key: str, n: str, by: str) -> DataFrame:
+    """left joined to right, which has one row a key and in ``n`` about how many rows of left have it.
+
+    The hot keys' rows of right, HOT_KEYS at most, are broadcast and their rows of left are not brought
+    together: the join of the rest sees them under null, spread by ``by``. right is read twice: store it."""
+    size = right.agg(F.sum(n).alias("all"), F.max(n).alias("most")).first()
+    hot = max(HOT_ROWS, (size["all"] or 0) // HOT_KEYS)
+    if (size["most"] or 0) <= hot:
+        return left.join(right, key)
+    payload = [c for c in right.columns if c != key]
+    few = right.filter(F.col(n) > hot).select(key, F.struct(*payload).alias("_few"))
+    rest = right.filter(F.col(n) <= hot).select(F.col(key).alias("_key"), F.lit(0).alias("_salt"), F.struct(*payload).alias("_rest"))
+    known = left.join(F.broadcast(few), key, "left")
+    cold = F.col("_few").isNull()
+    known = known.withColumns({"_key": F.when(cold, F.col(key)), "_salt": F.when(cold, 0).otherwise(F.pmod(F.xxhash64(by), F.lit(_SALTS)).cast("int") + 1)})
+    met = known.join(rest, ["_key", "_salt"], "left").withColumn("_found", F.coalesce("_few", "_rest")).filter("_found is not null")
+    return met.select(*(named(met, c) for c in left.columns), *(F.col("_found")[c].alias(c) for c in payload))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
