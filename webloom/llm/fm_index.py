@@ -3,7 +3,9 @@
 A shard is a run of documents of SHARD_BYTES at most. Its text is its sequence of words (runs of letters and
 digits, lower case), as symbols of the benchmark's vocabulary; words that no test phrase has can be
 part of no match and, with document ends, become separators, and stretches between separators that
-are shorter than the shortest phrase hold no match and are left out. Over that text the shard builds
+are shorter than the shortest phrase hold no match and are left out. A stretch of more than SHARD_WORDS
+words is cut into overlapping ones, so a shard's memory is bounded whatever the benchmark's words and
+however long a document is. Over that text the shard builds
 a suffix array (prefix doubling), its Burrows-Wheeler transform, a wavelet matrix with rank
 directories, and suffix positions at every SAMPLE-th place and at stretch starts. All test phrases
 (every run of PHRASE words of a benchmark item; a shorter item whole, if it has MIN_PHRASE words) are
@@ -11,10 +13,11 @@ searched backwards at once, occurrences are located by walking to a sampled posi
 or touching occurrences merge into removal spans, in characters of the document.
 
 Texts are neither shuffled nor collected. The benchmark goes to the workers in parts of at most
-MAX_PHRASE_BYTES of item text; a larger benchmark takes several passes.
+MAX_PHRASE_BYTES of item text; a larger benchmark takes several passes, whose occurrences are merged
+by the numbers of their words, as those of one pass are, so that the spans are the same.
 
 Defined cases: null and empty texts have no spans and pass unchanged; a null benchmark text has no
-phrase; repeated items and phrases count once and all their item_ids are named; without a phrase
+phrase; an item with a null item_id is searched but not named; repeated items and phrases count once and all their item_ids are named; without a phrase
 nothing is removed; an empty table gives no rows; a document of which only white space is left is
 dropped by ``cleaned``.
 """
@@ -38,13 +41,17 @@ PHRASE = 8
 MIN_PHRASE = 4
 SAMPLE = 8
 #: Bytes of text to a shard, at most (a longer document is one).
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 2_000_000
+#: Words of stretches to an index, about.
+SHARD_WORDS = 400_000
 MAX_PHRASE_BYTES = 8_000_000
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
-SPANS = T.StructType([T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("items", T.ArrayType(T.LongType()))])
+#: start, end: characters; first, last: numbers of the words.
+_SPAN = T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "first", "last")])
+SPANS = T.StructType([T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("items", T.ArrayType(T.LongType()))])
 
 
 def word_spans(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,6 +83,10 @@ class Phrases:
     def shortest(self) -> int:
         return min(self.by_length)
 
+    @property
+    def longest(self) -> int:
+        return max(self.by_length)
+
 
 def phrases_of(items: list[tuple[int, str | None]], phrase: int = PHRASE, min_phrase: int = MIN_PHRASE) -> Phrases | None:
     raw, offsets, starts, ends = word_spans(pa.array([t for _, t in items], pa.string()))
@@ -90,7 +101,7 @@ def phrases_of(items: list[tuple[int, str | None]], phrase: int = PHRASE, min_ph
         n = min(phrase, b - a)
         if n >= min(min_phrase, phrase):
             for i in range(a, b - n + 1):
-                of.setdefault(tuple(words[i : i + n].tolist()), set()).add(item)
+                of.setdefault(tuple(words[i : i + n].tolist()), set()).update([] if item is None else [item])
     if not of:
         return None
     by: dict[int, list[tuple[int, ...]]] = {}
@@ -223,9 +234,10 @@ class FMIndex:
 
 
 def find(text: pa.Array, phrases: Phrases) -> tuple[np.ndarray, ...]:
-    """(document, start, end, items) of the merged spans, in bytes, by document and place."""
+    """(document, start, end, first word, last word, items) of the merged spans, in bytes and in words of
+    the document, by document and place."""
     raw, offsets, starts, ends = word_spans(text)
-    none = (np.zeros(0, np.int64),) * 3 + ([],)
+    none = (np.zeros(0, np.int64),) * 5 + ([],)
     if not len(starts):
         return none
     encoded = encoded_words(raw, starts, ends)
@@ -238,14 +250,49 @@ def find(text: pa.Array, phrases: Phrases) -> tuple[np.ndarray, ...]:
     a, b = a[some], b[some]
     if not len(a):
         return none
+    hits = []
+    for lo, hi in shards_of(a, b, phrases.longest):
+        hits += occurrences(words, lo, hi, phrases)
+    if not hits:
+        return none
+    hits.sort()
+    merged: list[list] = []
+    for w, last, (n, p) in hits:
+        d = int(np.searchsorted(first, w, "right")) - 1
+        if merged and merged[-1][0] == d and w <= merged[-1][2] + 1:
+            merged[-1][2] = max(merged[-1][2], last)
+            merged[-1][3].update(phrases.items[n][p])
+        else:
+            merged.append([d, w, last, set(phrases.items[n][p])])
+    doc, w, last = (np.array([m[i] for m in merged]) for i in range(3))
+    return doc, starts[w] - offsets[doc], ends[last] - offsets[doc], w - first[doc], last - first[doc], [sorted(m[3]) for m in merged]
+
+
+def shards_of(a: np.ndarray, b: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The stretches [a, b) in groups of about SHARD_WORDS words; longer ones are cut so that every
+    run of ``longest`` words is whole in one piece."""
+    count = np.maximum(1, -(-(b - a) // SHARD_WORDS))
+    k = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    lo = np.repeat(a, count) + k * SHARD_WORDS
+    hi = np.minimum(lo + SHARD_WORDS + longest - 1, np.repeat(b, count))
+    upto, i = np.cumsum(hi - lo), 0
+    while i < len(lo):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SHARD_WORDS, "right")))
+        yield lo[i:j], hi[i:j]
+        i = j
+
+
+def occurrences(words: np.ndarray, a: np.ndarray, b: np.ndarray, phrases: Phrases) -> list[tuple[int, int, tuple[int, int]]]:
+    """(first word, last word, (length, number) of the phrase) of all that an index over the stretches finds."""
     # a separator, then stretch and separator in turn
     length = b - a + 1
     at = np.cumsum(length) - length + 1
-    code = np.zeros(int(length.sum()) + 1, np.int64)
+    code = np.zeros(int(length.sum()) + 1, np.int32)
     origin = np.zeros(len(code), np.int64)
     inner = np.arange(int((b - a).sum())) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
     place, source = inner + np.repeat(at, b - a), inner + np.repeat(a, b - a)
     code[place], origin[place] = words[source], source
+    del place, source, inner
     index = FMIndex(code)
     hits = []
     for n, rows in phrases.by_length.items():
@@ -255,19 +302,7 @@ def find(text: pa.Array, phrases: Phrases) -> tuple[np.ndarray, ...]:
         row = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
         word = origin[index.locate(row)]
         hits += [(w, w + n - 1, (n, p)) for w, p in zip(word.tolist(), which.tolist())]
-    if not hits:
-        return none
-    hits.sort()
-    merged: list[list] = []
-    for w, last, (n, p) in hits:
-        d = int(np.searchsorted(first, w, "right")) - 1
-        if merged and merged[-1][0] == d and w <= merged[-1][2] + 1:
-            merged[-1][2] = max(merged[-1][2], last)
-            merged[-1][3].update(phrases.items[n][p])
-        else:
-            merged.append([d, w, last, set(phrases.items[n][p])])
-    doc = np.array([m[0] for m in merged])
-    return doc, starts[[m[1] for m in merged]] - offsets[doc], ends[[m[2] for m in merged]] - offsets[doc], [sorted(m[3]) for m in merged]
+    return hits
 
 
 def _finder(phrases):
@@ -275,34 +310,40 @@ def _finder(phrases):
         for text in batches:
             out: list = [None] * len(text)
             for first, shard in text_slices(text, SHARD_BYTES):
-                doc, start, end, items = find(shard, phrases.value)
+                doc, start, end, w, last, items = find(shard, phrases.value)
                 for i in np.unique(doc).tolist():
                     raw = np.frombuffer(shard[i].as_py().encode(), np.uint8)
                     chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # characters before a byte
                     own = np.flatnonzero(doc == i)
-                    out[first + i] = {"spans": [{"start": int(chars[start[k]]), "end": int(chars[end[k]])} for k in own], "items": sorted(set().union(*(items[k] for k in own)))}
-            yield pa.array(out, pa.struct([("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.int64()))]))
+                    out[first + i] = {"spans": [{"start": int(chars[start[k]]), "end": int(chars[end[k]]), "first": int(w[k]), "last": int(last[k])} for k in own], "items": sorted(set().union(*(items[k] for k in own)))}
+            yield pa.array(out, pa.struct([("spans", pa.list_(pa.struct([(n, pa.int32()) for n in _SPAN.names]))), ("items", pa.list_(pa.int64()))]))
 
     return F.arrow_udf(frugal(run), SPANS)
 
 
 def _merge(spans: Column) -> Column:
-    """One sorted list of disjoint spans from those of several passes."""
-    step = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s)))
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"), step)
+    """One sorted list of spans from those of several passes: what overlaps or touches is one."""
+    kind = T.ArrayType(_SPAN)
+
+    def step(acc: Column, s: Column) -> Column:
+        top = F.element_at(acc, -1)
+        both = F.struct(top["start"].alias("start"), F.greatest(top["end"], s["end"]).alias("end"), top["first"].alias("first"), F.greatest(top["last"], s["last"]).alias("last"))
+        return F.when((F.size(acc) > 0) & (top["last"] + 1 >= s["first"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), step)
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, name: str, *, phrase: int = PHRASE, min_phrase: int = MIN_PHRASE, max_bytes: int = MAX_PHRASE_BYTES) -> DataFrame:
     """docs with a column of SPANS, null where there is none."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(named(benchmark, "item_id").cast("long").alias("i"), named(benchmark, "text").alias("t")).filter("t is not null and i is not null").distinct()
+    items = benchmark.select(named(benchmark, "item_id").cast("long").alias("i"), named(benchmark, "text").alias("t")).filter("t is not null").distinct()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = -(-size // max_bytes)
     found = []
     for p in range(passes):
         part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p)
-        phrases = phrases_of(sorted((r.i, r.t) for r in part.collect()), phrase, min_phrase)
+        phrases = phrases_of(sorted(((r.i, r.t) for r in part.collect()), key=lambda x: (x[0] is None, x)), phrase, min_phrase)
         if phrases is not None:
             found.append(_finder(spark.sparkContext.broadcast(phrases)))
     text = named(docs, "text")
@@ -327,7 +368,8 @@ def _without(text: Column, spans: Column) -> Column:
 def removals(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row for each contaminated document: doc_id, spans, items, and the text that is left."""
     rows = marked(docs.select(named(docs, "doc_id").alias("doc_id"), named(docs, "text").alias("text")), benchmark, "found", **options).filter("found is not null")
-    return rows.select("doc_id", F.col("found.spans").alias("spans"), F.col("found.items").alias("items"), _without(F.col("text"), F.col("found.spans")).alias("text"))
+    spans = F.transform("found.spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return rows.select("doc_id", spans.alias("spans"), F.col("found.items").alias("items"), _without(F.col("text"), F.col("found.spans")).alias("text"))
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
