@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import astuple, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -81,13 +81,20 @@ def measure(text: pa.Array, vocabularies: list[str]) -> list[tuple[np.ndarray, .
     doc = np.repeat(np.arange(words.docs), count)
     out = []
     for vocabulary in vocabularies:
-        starts, ids = piece_csr(vocabulary, words.distinct)
+        seen, leading = words, []
+        if not vocabulary.endswith(".model"):  # which puts a space before the first word too
+            first = words.offsets[:-1][count > 0]
+            lead, which = np.unique(words.codes[first], return_inverse=True)
+            codes = words.codes.astype(np.int64)
+            codes[first] = len(words.distinct) + which
+            seen, leading = replace(words, codes=codes), [words.distinct[i] for i in lead]
+        starts, ids = piece_csr(vocabulary, words.distinct, leading)
         lengths = np.diff(starts)
-        tokens = words.sums(lengths)
+        tokens = seen.sums(lengths)
         byte = np.concatenate([[0], np.cumsum(byte_pieces(vocabulary)[ids])])
-        byte_tokens = words.sums(byte[starts[1:]] - byte[starts[:-1]])
+        byte_tokens = seen.sums(byte[starts[1:]] - byte[starts[:-1]])
         with np.errstate(divide="ignore", invalid="ignore"):
-            out.append((tokens, chars / tokens, byte_tokens / tokens, entropies(words.codes, doc, starts, ids, tokens)))
+            out.append((tokens, chars / tokens, byte_tokens / tokens, entropies(seen.codes, doc, starts, ids, tokens)))
     return out
 
 

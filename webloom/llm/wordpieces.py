@@ -150,9 +150,12 @@ def encode_words(vocabulary: str, words: list[str]) -> list[list[int]]:
     return [model.encode_ordinary(" " + w) for w in words]
 
 
-def piece_csr(vocabulary: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ids): pieces of word w are ids[starts[w]:starts[w+1]]."""
+def piece_csr(vocabulary: str, words: list[str], leading: list[str] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ids): pieces of word w are ids[starts[w]:starts[w+1]]. After the words come those that
+    a byte-level text begins with: no space is before them."""
     pieces = encode_words(vocabulary, words) if words else []
+    if leading:
+        pieces += tiktoken_model(vocabulary).encode_ordinary_batch(list(leading), num_threads=1)
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     starts = np.concatenate([[0], np.cumsum(lengths)])
     return starts, np.fromiter(itertools.chain.from_iterable(pieces), np.int64, int(starts[-1]))
