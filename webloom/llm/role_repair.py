@@ -6,19 +6,22 @@ programming over (turns read, state of the automaton) chooses, at least total co
 keep its role, to give it another (relabel), to merge it into the turn before, which must have its
 role after any relabelling, and where to put empty turns; then the repaired turns are rendered.
 
-Conversations with the same sequence of roles share one plan. One shuffle brings the turns of a
-conversation together; nothing else moves.
+Conversations with the same short sequence of roles share one plan. One shuffle brings the turns of a
+conversation together; nothing else moves. A conversation is one cell of the result, so all of it meets
+in one task. What looks like a marker in a text is escaped: "<|" is rendered as "<\\|" and each "<", backslashes, "|"
+with one more backslash, so that a text forges no turn and can be read back.
 
 Defined cases: roles are compared trimmed and in lower case, and common names map to the three (human
 -> user, bot, gpt, model -> assistant); a null or unknown role must be relabelled; a null text is an
 empty one; turns with the same number are in the order of their role and text, and repeated rows are
-turns of their own; null turn numbers come first; rows with a null conv_id are one conversation; ties
+turns of their own; null turn numbers come first; a row with a null conv_id is a conversation of its own; ties
 of cost go to the earlier of keep, merge, relabel, insert; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,9 +44,21 @@ _STATES = ("start", *ROLES)
 Step = tuple[str, str]  # (keep | merge | relabel | merge+relabel | insert, role)
 
 
-@functools.lru_cache(maxsize=100_000)
+#: Plans of so many turns at most are remembered, so many of them.
+SHORT, REMEMBERED = 32, 50_000
+
+
 def plan(roles: tuple[str, ...]) -> tuple[int, tuple[Step, ...]]:
     """Least cost and its steps; every step but insert reads one turn."""
+    return _short(roles) if len(roles) <= SHORT else _plan(roles)
+
+
+@functools.lru_cache(maxsize=REMEMBERED)
+def _short(roles: tuple[str, ...]) -> tuple[int, tuple[Step, ...]]:
+    return _plan(roles)
+
+
+def _plan(roles: tuple[str, ...]) -> tuple[int, tuple[Step, ...]]:
     best: dict[str, tuple[int, tuple | None]] = {"start": (0, None)}
     trail: list[dict[str, tuple]] = []
 
@@ -114,8 +129,19 @@ def repair(turns: list[tuple[str | None, str | None]]) -> tuple[int, tuple[Step,
     return cost, steps, out
 
 
+_MARKER = re.compile(r"<(\\*)\|")
+
+
+def escaped(text: str) -> str:
+    return _MARKER.sub(r"<\1\\|", text)
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<(\\*)\\\|", r"<\1|", text)
+
+
 def render(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in turns)
+    return "".join(f"<|{role}|>\n{escaped(text)}\n<|end|>\n" for role, text in turns)
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
@@ -123,7 +149,8 @@ def formatted(conversations: DataFrame) -> DataFrame:
     c = conversations
     small_batches(c.sparkSession)
     rows = c.select(named(c, "conv_id").cast("long").alias("conv_id"), F.struct(named(c, "turn").cast("long").alias("turn"), named(c, "role").cast("string").alias("role"), named(c, "text").cast("string").alias("text")).alias("t"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns")).select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
+    whole = rows.filter("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    grouped = whole.unionByName(rows.filter("conv_id is null").select("conv_id", F.array("t").alias("turns"))).select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
