@@ -3,7 +3,8 @@
 All glob rules are packed, one after another, into masks of as many 64-bit words as they need. A
 state stands before each character that a rule asks for; "*" is a loop on the state before it. One
 step on character c takes every state of every rule at once: D = (shift(D) & B[c]) | (D & LOOPS),
-the shift carrying between words (Shift-And with gaps). The URLs of a batch step together. A rule
+the shift carrying between words (Shift-And with gaps). The URLs of a slice step together; how many
+they are follows from the size of the masks, so memory doesn't grow with the rules times the URLs. A rule
 matches if its last state is set when the URL ends: rules are anchored at both ends.
 
 Rules: "*" any run, "?" one character, "[abc]", "[a-z]", "[!x]" one of (or none of) a set, "\\" takes
@@ -47,6 +48,8 @@ DENY = (
     "*://*:[0-9]*/*",
 )
 ALLOW = ("http://*", "https://*")
+#: Bytes of the states and hits of the URLs that step together.
+MASK_BYTES = 32_000_000
 TRACKING = "utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid|ref"
 
 
@@ -150,10 +153,15 @@ def _judge(deny, allow):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         globs, rules = Globs.pack([*deny, *allow]), [*deny, *allow]
         names = pa.array(rules + [None], pa.string())
+        most = max(1, MASK_BYTES // (3 * 8 * len(globs.loops) + len(rules)))
         for urls in batches:
-            hit = globs.match(*flat_bytes(urls))
-            first = lambda m, base: pa.array(np.where(m.any(1), m.argmax(1) + base, len(rules))) if m.shape[1] else pa.array(np.full(len(m), len(rules)))
-            yield pa.StructArray.from_arrays([names.take(first(hit[:, : len(deny)], 0)), names.take(first(hit[:, len(deny) :], len(deny)))], names=["denied_by", "allowed_by"])
+            found = [np.zeros((0, 2), np.int64)]
+            for at in range(0, len(urls), most):
+                hit = globs.match(*flat_bytes(urls.slice(at, most)))
+                first = lambda m, base: np.where(m.any(1), m.argmax(1) + base, len(rules)) if m.shape[1] else np.full(len(m), len(rules))
+                found.append(np.stack([first(hit[:, : len(deny)], 0), first(hit[:, len(deny) :], len(deny))], axis=1))
+            by = np.concatenate(found)
+            yield pa.StructArray.from_arrays([names.take(pa.array(by[:, i])) for i in (0, 1)], names=["denied_by", "allowed_by"])
 
     return F.arrow_udf(run, kind)
 
