@@ -9,10 +9,14 @@ Groups are the connected components of the pairs that share a band and reach the
 a text are one node from the start, the text's least doc_id, and only that row is banded. So that a
 bucket of n texts does not cost n * n comparisons, buckets are resolved in rounds. In the first every
 member is compared with the bucket's least document. In the next ones a bucket whose members are not
-yet in one component goes on: a small one (SMALL_BUCKET members at most) with the pairs of different
-components, which finishes it; a larger one with the pairs of a member and one of CENTRES centres of
-other components. A centre that has met all members leaves the bucket. When no bucket is left, every pair
+yet in one component goes on. In STAR_ROUNDS of them each member that is not in the bucket's largest
+component is compared with one document of that. Then what is left of a bucket goes on: a small one
+(SMALL_BUCKET members at most) with the pairs of different
+components, which finishes it; a larger one with the pairs of a member and a centre of another
+component. Its centres are CENTRES of the members that are not in its largest component, in later rounds
+more, MOST_CENTRES at most. A centre that has met all members leaves the bucket. When no bucket is left, every pair
 of a bucket was compared or is in one component, so the result is that of comparing all candidates.
+Sets of which one has less than ``threshold`` of the other's size can't reach it and are not compared.
 No bucket is brought together in one task: least documents, components and centres are aggregates
 that combine before they move, and the rows of a hot bucket, text or centre are spread.
 
@@ -45,8 +49,9 @@ BANDS = 40
 ROWS = 4
 UNIVERSE = 1 << 20
 THRESHOLD = 0.5
-SMALL_BUCKET = 64
-CENTRES = 8
+STAR_ROUNDS = 4
+SMALL_BUCKET = 256
+CENTRES, MOST_CENTRES = 32, 512
 #: Pairs of a document, at least, for which its shingle set is sent to several tasks.
 HOT_PAIRS = 10_000
 #: Edges that one task may join into components; beyond it the components are iterated over the cluster.
@@ -193,7 +198,7 @@ def _iterate(edges: DataFrame) -> DataFrame:
     return labels.union(labels.select(F.col("label").alias("node"), "label").distinct())
 
 
-def groups(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, small: int = SMALL_BUCKET, centres: int = CENTRES) -> DataFrame:
+def groups(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, stars: int = STAR_ROUNDS, small: int = SMALL_BUCKET, centres: int = CENTRES) -> DataFrame:
     """doc_id, group_id for every document that has a duplicate; group_id is the least doc_id."""
     small_batches(docs.sparkSession)
     texts = docs.select(named(docs, "doc_id").cast("long").alias("doc_id"), named(docs, "text").alias("text")).filter("text is not null and doc_id is not null")
@@ -217,15 +222,18 @@ def groups(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = SHINGL
     several = own.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1").select("doc_id")
     found = stored(copies.filter("doc_id != node").join(several, "doc_id", "left_semi").select(F.col("node").alias("a"), F.col("doc_id").alias("b")), "near-bridges")
     alive, pairs, seen, r = members.filter("doc != centre"), members.filter("doc != centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")), None, 0
+    sizes = sets.groupBy("doc_id").agg(F.min(F.size("s")).alias("least"), F.max(F.size("s")).alias("most"))
+    sizes = stored(sizes, "near-sizes")
     while True:
-        pairs = pairs.distinct()
-        pairs = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), f"near-pairs{r}")
-        checked = stored(_verify(pairs, sets), f"near-checked{r}")
-        seen = checked.select("a", "b") if seen is None else seen.unionByName(checked.select("a", "b"))
+        new = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"])
+        new = new if seen is None else new.join(seen, ["lo", "hi"], "left_anti")
+        new = stored(_of_like_sizes(new, sizes, threshold).select("a", "b", "lo", "hi"), f"near-pairs{r}")
+        seen = new.select("lo", "hi") if seen is None else seen.unionByName(new.select("lo", "hi"))
+        checked = stored(_verify(new.select("a", "b"), sets), f"near-checked{r}")
         found = found.unionByName(checked.filter(F.col("j") >= threshold).select("a", "b"))
         labels = stored(components(found), f"near-labels{r}")
+        going_on = _open(alive.select("key", "doc"), labels, r, small, 0 if r < stars else min(centres * 4 ** (r - stars), max(centres, MOST_CENTRES)))
         r += 1
-        going_on = _open(alive.select("key", "doc"), labels, r, small, centres)
         if going_on is None:
             break
         alive, pairs = going_on
@@ -266,15 +274,27 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("j")).groupBy("a", "b").agg(F.max("j").alias("j"))
 
 
+def _of_like_sizes(pairs: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """Without pairs whose sets are too unlike in size."""
+    a = sizes.select(F.col("doc_id").alias("a"), F.col("least").alias("la"), F.col("most").alias("ma"))
+    b = sizes.select(F.col("doc_id").alias("b"), F.col("least").alias("lb"), F.col("most").alias("mb"))
+    met = pairs.join(b, "b").join(a, "a")
+    return met.filter((F.col("ma") >= threshold * F.col("lb")) & (F.col("mb") >= threshold * F.col("la")))
+
+
 def _open(alive: DataFrame, labels: DataFrame, r: int, small: int, centres: int) -> tuple[DataFrame, DataFrame] | None:
     """(members that go on after this round, pairs of this round) of the buckets whose members are not yet in one
-    component; None if there is none."""
+    component; None if there is none. In a pair of a centre and a member the centre is a. Without centres it is a
+star round."""
     labelled = alive.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
-    per = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-    per = stored(per.filter("lo != hi").select("key", "n"), f"near-open{r}")
+    per = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("doc", F.xxhash64("doc", F.lit(r))).alias("head"))
+    per = per.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label", "head")).alias("top"), F.count("*").alias("labels"))
+    per = stored(per.filter("labels > 1").select("key", "n", F.col("top.label").alias("top"), F.col("top.head").alias("head")), f"near-open{r}")
     if per.isEmpty():
         return None
     going = stored(spread(labelled, per, "key", "n", "doc"), f"near-going{r}")
+    if not centres:
+        return going, going.filter("label != top").select(F.col("head").alias("a"), F.col("doc").alias("b"))
     few = going.filter(F.col("n") <= small).groupBy("key").agg(F.collect_list(F.struct("doc", "label")).alias("m"))
     x = few.select("m", F.explode("m").alias("x"))
     others = F.filter("m", lambda y: (y["doc"] > F.col("x.doc")) & (y["label"] != F.col("x.label")))
@@ -283,11 +303,11 @@ def _open(alive: DataFrame, labels: DataFrame, r: int, small: int, centres: int)
     if many.isEmpty():
         return many, pairs
     order = Window.partitionBy("key").orderBy(F.xxhash64("doc", F.lit(r)), "doc")  # a limit in each task comes before the shuffle
-    heads = many.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= centres)
+    heads = many.filter("label != top").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= centres)
     heads = stored(heads.groupBy("key").agg(F.collect_list(F.struct("doc", "label")).alias("heads"), F.max("n").alias("n")), f"near-heads{r}")
     met = stored(spread(many.select("key", "doc", "label"), heads, "key", "n", "doc"), f"near-met{r}")
     h = met.select("doc", "label", F.explode("heads").alias("h")).filter("h.label != label")
-    pairs = pairs.unionByName(h.select(F.least("doc", "h.doc").alias("a"), F.greatest("doc", "h.doc").alias("b")))
+    pairs = pairs.unionByName(h.select(F.col("h.doc").alias("a"), F.col("doc").alias("b")))
     return met.filter(~F.array_contains("heads.doc", F.col("doc"))), pairs
 
 
