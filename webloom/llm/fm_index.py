@@ -318,7 +318,7 @@ def _finder(phrases):
                     out[first + i] = {"spans": [{"start": int(chars[start[k]]), "end": int(chars[end[k]]), "first": int(w[k]), "last": int(last[k])} for k in own], "items": sorted(set().union(*(items[k] for k in own)))}
             yield pa.array(out, pa.struct([("spans", pa.list_(pa.struct([(n, pa.int32()) for n in _SPAN.names]))), ("items", pa.list_(pa.int64()))]))
 
-    return F.arrow_udf(frugal(run), SPANS)
+    return F.arrow_udf(frugal(run), SPANS).asNondeterministic()  # else a filter on it calls it once more
 
 
 def _merge(spans: Column) -> Column:
