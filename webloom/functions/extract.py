@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from webloom.functions.dom import parse_html, select
 from webloom.functions.feed import FIELDS, feed_items, feed_title
-from webloom.functions.patterns import to_java, to_python
-from webloom.functions.values import json_select, stringify, trim, trim_column
+from webloom.functions.patterns import matches, nested, to_java, to_python
+from webloom.functions.values import json_select, json_text, stringify, trim, trim_column
 from webloom.functions.xmlpath import parse_xml, xpath_strings
 
 STRINGS = T.ArrayType(T.StringType())
@@ -78,19 +78,20 @@ class Page:
 
     def _json(self, s: Spec) -> list[str]:
         found, v = json_select(self.source, s.selector)
+        if s.how == "value":
+            return [json_text(v)] if found else []
         text = stringify(v) if found else None
         return [] if text is None else [trim(text)]
 
     def _regex(self, s: Spec) -> list[str]:
-        p = to_python(s.selector)
-        if p is None:
-            return []
+        found = matches(s.selector, self.source) if s.how != "group" or nested(s.selector) else None
         if s.how == "group":
-            m = p.search(self.source)
+            p = to_python(s.selector)
+            m = (found[0] if found else None) if found is not None else p.search(self.source) if p is not None else None
             taken = [g for g in (m[0], *m.groups()) if g is not None] if m else []  # those that took no part shift the rest
             n = int(s.arg) if s.arg.isdigit() else 0
             return [trim(taken[n])] if n < len(taken) else []
-        return [trim(m[0]) for m in p.finditer(self.source)]
+        return [trim(m[0]) for m in found]
 
     def _ai(self, s: Spec) -> list[str]:
         return []
@@ -103,8 +104,8 @@ def extract(text: Column, specs: list[Spec]) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             columns: list[list[list[str]]] = [[] for _ in specs]
-            for text_ in batch.to_pylist():
-                page = Page(text_ or "")
+            for text_ in batch:  # one page at a time is a Python object
+                page = Page(text_.as_py() or "")
                 for out, s in zip(columns, specs):
                     out.append(page.run(s))
             yield pa.StructArray.from_arrays([pa.array(c, pa.list_(pa.string())) for c in columns], names=kind.names)
@@ -137,7 +138,7 @@ class Query:
 
     def all(self) -> Column:
         java = to_java(self.spec.selector) if self.spec.kind == "regex" and self.spec.how != "group" else None
-        if self.spec.kind == "ai" or (self.spec.kind == "regex" and self.spec.how != "group" and java is None):
+        if self.spec.kind == "ai" or (self.spec.kind == "regex" and to_python(self.spec.selector) is None):
             return F.array().cast(STRINGS)
         if java is not None:  # stays in the JVM
             return F.transform(F.coalesce(F.regexp_extract_all(self.column, F.lit(java), F.lit(0)), F.array().cast(STRINGS)), trim_column)
@@ -146,7 +147,11 @@ class Query:
     def one(self) -> Column:
         return F.get(self.all(), F.lit(0))
 
-    value = one
+    def value(self) -> Column:
+        """Of a JSON query the value that was found, as a VARIANT; else as one()."""
+        if self.spec.kind != "json":
+            return self.one()
+        return F.try_parse_json(F.get(extract(self.column, [Spec("json", self.spec.selector, "value")])["s0"], F.lit(0)))
 
 
 def css(column, selector: str) -> Query:
@@ -184,7 +189,7 @@ class Feed:
     def title(self) -> Column:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                yield pa.array([feed_title(t or "") for t in batch.to_pylist()], pa.string())
+                yield pa.array([feed_title(t.as_py() or "") for t in batch], pa.string())
 
         return F.arrow_udf(run, T.StringType())(self.column)
 
@@ -193,7 +198,7 @@ class Feed:
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                yield pa.array([feed_items(t or "") for t in batch.to_pylist()], kind)
+                yield pa.array([feed_items(t.as_py() or "") for t in batch], kind)
 
         return F.arrow_udf(run, T.ArrayType(FEED_ITEM))(self.column)
 

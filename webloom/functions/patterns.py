@@ -1,5 +1,9 @@
-"""A linear-time, Unicode regex dialect on Java's and Python's engines: no look-around, no back
-references (such patterns match nothing), "$" only at the end of the text, "." all but a line feed."""
+"""A Unicode regex dialect on Java's and Python's engines: no look-around, no back references (such
+patterns match nothing), "$" only at the end of the text, "." all but a line feed.
+
+Both engines backtrack. Repetition of what itself repeats, like (a+)+, may take them a time that doubles
+with each sign of the text, so such patterns run in Python with a limit of TIMEOUT_S a page; a page on which one
+takes longer is as one without a match."""
 
 from __future__ import annotations
 
@@ -26,13 +30,37 @@ def _ends(pattern: str, end: str) -> str:
     return "".join(out)
 
 
-def to_java(pattern: str) -> str | None:
-    """None where the dialect has no such pattern."""
-    if _REFUSED.search(pattern):
+TIMEOUT_S = 1.0
+_NESTED = re.compile(r"\((?:[^()\\]|\\.|\([^()]*\))*(?:[+*]|\{\d+,)(?:[^()\\]|\\.|\([^()]*\))*\)(?:[+*]|\{\d)")
+
+
+def nested(pattern: str) -> bool:
+    """Whether a repeated group has a repetition inside."""
+    return _NESTED.search(pattern) is not None
+
+
+def to_java(pattern: str, *, nesting: bool = False) -> str | None:
+    """None where the dialect has no such pattern or, without ``nesting``, it needs a limit of time."""
+    if _REFUSED.search(pattern) or (nested(pattern) and not nesting):
         return None
     return "(?Ud)" + _ends(pattern.replace("(?P<", "(?<"), r"\z")
 
 
+def matches(pattern: str, text: str) -> list:
+    """All matches, in order."""
+    p = to_python(pattern)
+    if p is None:
+        return []
+    if not nested(pattern):
+        return list(p.finditer(text))
+    import regex
+
+    try:
+        return list(regex.compile(p.pattern).finditer(text, timeout=TIMEOUT_S))
+    except (TimeoutError, regex.error):
+        return []
+
+
 @functools.lru_cache(maxsize=1000)
 def to_python(pattern: str) -> re.Pattern | None:
     if _REFUSED.search(pattern):

@@ -44,6 +44,15 @@ def from_json(text: str):
         return False, None
 
 
+def json_text(v) -> str:
+    """The value as JSON, with sorted keys."""
+    if isinstance(v, list):
+        return "[" + ",".join(map(json_text, v)) + "]"
+    if isinstance(v, dict):
+        return "{" + ",".join(json.dumps(k) + ":" + json_text(x) for k, x in sorted(v.items())) + "}"
+    return number_text(v) if isinstance(v, float) else json.dumps(v)
+
+
 def quoted(v) -> str | None:
     s = stringify(v)
     return None if s is None else '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'

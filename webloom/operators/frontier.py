@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from webloom.tables import stored
+
 RATE_WINDOW_MS = 60_000
 
 
@@ -51,23 +55,76 @@ def dedup(df: DataFrame, key: str = "url", *, partition: tuple[str, ...] = (), o
     return first.unionByName(free)
 
 
+#: Rows of a key that one task may sort; keys with more are numbered part by part.
+SORTED_ROWS = 1_000_000
+
+
+def _many(df: DataFrame, partition: tuple[str, ...]) -> bool:
+    return (df.groupBy(*partition).count().agg(F.max("count")).first()[0] or 0) > SORTED_ROWS
+
+
+def _numbered(df: DataFrame, partition: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """df with _n, a row's place among all rows of its key; _part, a range of places; _at, the place in it. A key
+    has many parts, so no task sorts all its rows."""
+    df = stored(df.repartitionByRange(*partition, *order).withColumn("_part", F.spark_partition_id()), "frontier-parts")
+    w = Window.partitionBy(*partition, "_part").orderBy(*order)
+    df = df.withColumn("_at", (F.row_number().over(w) - 1).cast("long"))
+    parts = df.groupBy(*partition, "_part").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*partition).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_size")
+    return _met(df, parts, [*partition, "_part"]).withColumn("_n", F.col("_before") + F.col("_at")).drop("_before")
+
+
+def _met(df: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Null keys meet too."""
+    other = parts.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(other[f"_k{i}"]) for i, k in enumerate(keys)])
+    return df.join(other, on).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
+def numbered(df: DataFrame, partition: tuple[str, ...], order: tuple[str, ...], name: str) -> DataFrame:
+    """A row's place among the rows of its key, from 0."""
+    if _many(df, partition):
+        return _numbered(df, partition, order).drop("_at", "_part").withColumnRenamed("_n", name)
+    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1).cast("long"))
+
+
+def _upto(df: DataFrame, keys: tuple[str, ...], value: Column) -> tuple[DataFrame, Column]:
+    """(df, the greatest value of the key's rows up to each), by running maxima inside parts."""
+    inside = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    parts = df.groupBy(*keys, "_part").agg(F.max(value).alias("_top"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_earlier", F.max("_top").over(before)).drop("_top")
+    return _met(df, parts, [*keys, "_part"]), F.greatest(F.col("_earlier"), F.max(value).over(inside))
+
+
 def interval_gate(df: DataFrame, interval_ms: int, *, arrival: str = "arrival_ms", partition: tuple[str, ...] = ("step",), order: tuple[str, ...] = ("arrival_ms", "seq")) -> DataFrame:
     """admitted_ms: each arrival waits until interval_ms after the one admitted before."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    n = (F.row_number().over(w) - 1).cast("long")
-    df = df.withColumn("_n", n)
-    return df.withColumn("admitted_ms", F.col("_n") * interval_ms + F.max(F.col(arrival) - F.col("_n") * interval_ms).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_n")
+    if not _many(df, partition):
+        df = df.withColumn("_n", (F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1).cast("long"))
+        upto = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("admitted_ms", F.col("_n") * interval_ms + F.max(F.col(arrival) - F.col("_n") * interval_ms).over(upto)).drop("_n")
+    rows = _numbered(df, partition, order)
+    rows, top = _upto(rows, partition, F.col(arrival) - F.col("_n") * interval_ms)
+    return rows.withColumn("admitted_ms", F.col("_n") * interval_ms + top).drop("_n", "_at", "_part", "_earlier")
 
 
 def rate_limit(df: DataFrame, per_minute: int, *, arrival: str = "arrival_ms", partition: tuple[str, ...] = ("step",), order: tuple[str, ...] = ("arrival_ms", "seq")) -> DataFrame:
     """admitted_ms under a sliding window of per_minute. A hit exactly a window old still counts, so
     the n-th waits RATE_WINDOW_MS + 1 after the (n - per_minute)-th."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    df = df.withColumn("_n", (F.row_number().over(w) - 1).cast("long"))
-    df = df.withColumn("_r", F.col("_n") % per_minute).withColumn("_j", F.floor(F.col("_n") / per_minute).cast("long"))
-    c = Window.partitionBy(*partition, "_r").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
-    step = RATE_WINDOW_MS + 1
-    return df.withColumn("admitted_ms", F.col("_j") * step + F.max(F.col(arrival) - F.col("_j") * step).over(c)).drop("_n", "_r", "_j")
+    many, step = _many(df, partition), RATE_WINDOW_MS + 1
+    rows = _numbered(df, partition, order) if many else df.withColumn("_n", (F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1).cast("long"))
+    rows = rows.withColumns({"_r": F.col("_n") % per_minute, "_j": F.floor(F.col("_n") / per_minute).cast("long")})
+    if not many:
+        upto = Window.partitionBy(*partition, "_r").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("admitted_ms", F.col("_j") * step + F.max(F.col(arrival) - F.col("_j") * step).over(upto)).drop("_n", "_r", "_j")
+    rows, top = _upto(rows, (*partition, "_r"), F.col(arrival) - F.col("_j") * step)
+    return rows.withColumn("admitted_ms", F.col("_j") * step + top).drop("_n", "_r", "_j", "_at", "_part", "_earlier")
+
+
+def attempt_number(attempts: DataFrame, *, key: tuple[str, ...] = ("url",), order: tuple[str, ...] = ("seq",), name: str = "retries") -> DataFrame:
+    """How many attempts of the key came before each."""
+    return numbered(attempts, key, order, name).withColumn(name, F.col(name).cast("int"))
 
 
 def backoff(array: Column, retry: Column) -> Column:
@@ -79,20 +136,21 @@ def retry_by_status(attempts: DataFrame, statuses: list[int], count: int = 1, ba
     """flow (continue or retry), flow_reason and backoff_ms."""
     again = F.col(status).isin(statuses) & (F.col(retries) < count) if statuses else F.lit(False)
     wait = backoff(F.array(*map(F.lit, backoff_ms or [])).cast("array<bigint>"), F.col(retries))
-    return attempts.withColumns({"flow": F.when(again, F.lit("retry")).otherwise(F.lit("continue")), "flow_reason": F.when(again, F.concat(F.lit("status "), F.col(status).cast("string"))), "backoff_ms": F.when(again, wait)})
+    return attempts.withColumns({"flow": F.when(again, F.lit("retry")).otherwise(F.lit("continue")), "flow_reason": F.when(again, F.concat(F.lit("retry by status: "), F.col(status).cast("string"))), "backoff_ms": F.when(again, wait)})
 
 
-def retry_by_error(attempts: DataFrame, count: int = 1, backoff_ms: list[int] | None = None, *, kinds: tuple[str, ...] = ("download",), retries: str = "retries") -> DataFrame:
-    again = F.col("error").isNotNull() & F.col("error.kind").isin(list(kinds)) & (F.col(retries) < count)
+def retry_by_error(attempts: DataFrame, count: int = 1, backoff_ms: list[int] | None = None, *, kinds: tuple[str, ...] | None = ("download",), retries: str = "retries") -> DataFrame:
+    """Without kinds any error is tried again."""
+    again = F.col("error").isNotNull() & (F.col("error.kind").isin(list(kinds)) if kinds is not None else F.lit(True)) & (F.col(retries) < count)
     wait = backoff(F.array(*map(F.lit, backoff_ms or [])).cast("array<bigint>"), F.col(retries))
-    return attempts.withColumns({"flow": F.when(again, F.lit("retry")).otherwise(F.lit("continue")), "flow_reason": F.when(again, F.col("error.message")), "backoff_ms": F.when(again, wait)})
+    return attempts.withColumns({"flow": F.when(again, F.lit("retry")).otherwise(F.lit("continue")), "flow_reason": F.when(again, F.concat(F.lit("retry by error: "), F.col("error.kind"), F.lit(" error: "), F.col("error.message"))), "backoff_ms": F.when(again, wait)})
 
 
 def rescheduled(df: DataFrame, now_ms: int, reason: Column, wait: Column) -> DataFrame:
     """Requests to be tried again: retry counter and reason in meta, no filtering, perhaps later."""
     n = F.coalesce(F.try_element_at("meta", F.lit("_retry_times")).cast("int"), F.lit(0)) + 1
     patch = F.map_filter(F.create_map(F.lit("_retry_times"), n.cast("string"), F.lit("_retry_reason"), F.to_json(F.struct(reason.alias("r"))).substr(F.lit(6), F.length(F.to_json(F.struct(reason.alias("r")))) - 6), F.lit("_retry_backoff_ms"), wait.cast("string")), lambda k, v: v.isNotNull())
-    return df.withColumns({"meta": merge_meta(F.col("meta"), patch), "dont_filter": F.lit(True), "ready_at_ms": F.when(wait.isNotNull(), F.lit(now_ms) + wait)})
+    return df.withColumns({"meta": merge_meta(F.col("meta"), patch), "dont_filter": F.lit(True), "ready_at_ms": F.when(wait > 0, F.lit(now_ms) + wait)})
 
 
 def ready(df: DataFrame, now_ms: int) -> DataFrame:
@@ -110,7 +168,20 @@ def nacked(inflight: DataFrame, failed: DataFrame) -> DataFrame:
     return first.join(failed.select("url").distinct(), "url", "left_semi").withColumn("priority", F.lit(-1))
 
 
-def wave_of(df: DataFrame, per_host: int, *, order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """wave: per_host rows of a host at a time."""
-    w = Window.partitionBy("host").orderBy(*order)
-    return df.withColumn("host", extract_host(F.col("url"))).withColumn("wave", F.floor((F.row_number().over(w) - 1) / per_host).cast("long"))
+def wave_of(df: DataFrame, per_host: int, *, at_once: int | None = None, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """wave: per_host rows of a host at a time and, with at_once, so many rows in all: of every host's
+    turns the first ones, in the order of turn and row."""
+    rows = df.withColumn("host", extract_host(F.col("url")))
+    rows = numbered(rows, ("host",), order, "wave").withColumn("wave", F.floor(F.col("wave") / per_host).cast("long"))
+    if at_once is None:
+        return rows
+    rows = numbered(rows.withColumn("_all", F.lit(0)), ("_all",), ("wave", *order), "_n")
+    return rows.withColumn("wave", F.floor(F.col("_n") / at_once).cast("long")).drop("_n", "_all")
+
+
+def leased(df: DataFrame, now_ms: int, per_host: int, at_once: int | None) -> DataFrame:
+    """What goes next of a frontier: of the ready rows per_host a host at most, at_once in all."""
+    rows = ready(df, now_ms).withColumn("_host", F.coalesce(extract_host(F.col("url")), F.lit("unknown")))
+    w = Window.partitionBy("_host").orderBy("priority", "seq")  # a limit in each task comes before the shuffle
+    rows = rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= per_host).drop("_k", "_host")
+    return rows if at_once is None else rows.orderBy("priority", "seq").limit(at_once)

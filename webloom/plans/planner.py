@@ -71,14 +71,37 @@ class Sources:
 
 
 def items(responses: DataFrame, step: Step, keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """The kept columns, the fields in the order of their names, and ``error``; no fields: no rows."""
+    """The kept columns, the fields in the order of their names, and ``error``; no fields: no rows.
+    Where a field has the name of a kept column or of ``error``, that is named ``page_...``."""
+    names = {f.name.lower() for f in step.fields}
+    free = lambda c: free(f"page_{c}") if c.lower() in names else c
+    packed = packed_items(responses, step, keep)
+    if not step.fields:
+        return packed.select(*keep, "error")
+    return packed.select(*(F.col(c).alias(free(c)) for c in keep), *(F.col("item").getField(n).alias(n) for n in sorted({f.name for f in step.fields})), F.col("error").alias(free("error")))
+
+
+def parsed(responses: DataFrame, step: Step) -> tuple[DataFrame, Sources]:
+    """The responses with all that the step's fields and links find in their texts, by one pass, for
+    packed_items and requests to read."""
+    fields = {f.name: f for f in step.fields}
+    sources = Sources([*(fields[n] for n in sorted(fields)), *step.links])
+    return sources.on(responses), sources
+
+
+def packed_items(responses: DataFrame, step: Step, keep: tuple[str, ...] = ("url",), sources: Sources | None = None) -> DataFrame:
+    """The kept columns, ``item``, a struct of the fields in the order of their names, and ``error``. With
+    sources the responses are parsed."""
     fields = {f.name: f for f in step.fields}  # the last of a name counts
     spark = responses.sparkSession
     if not fields:
         kinds = {f.name: f for f in responses.schema.fields}
-        return spark.createDataFrame([], T.StructType([*(kinds[k] for k in keep), T.StructField("error", T.StringType())]))
-    sources = Sources([fields[n] for n in sorted(fields)])
-    rows, out, errors = sources.on(responses), [], []
+        return spark.createDataFrame([], T.StructType([*(kinds[k] for k in keep), T.StructField("item", T.StructType()), T.StructField("error", T.StringType())]))
+    rows = responses
+    if sources is None:
+        sources = Sources([fields[n] for n in sorted(fields)])
+        rows = sources.on(responses)
+    out, errors = [], []
     for name in sorted(fields):
         f = fields[name]
         values = sources.values(f)
@@ -93,14 +116,14 @@ def items(responses: DataFrame, step: Step, keep: tuple[str, ...] = ("url",)) ->
         if f.required and f.default is None:
             errors.append(F.when(missing, F.lit(f"required field missing: {name}")))
     error = F.coalesce(*errors, F.lit(None).cast("string")) if errors else F.lit(None).cast("string")
-    return rows.select(*keep, *out, error.alias("error"))
+    return rows.select(*keep, F.struct(*out).alias("item"), error.alias("error"))
 
 
 def allowed_by(value: Column, allow: tuple[str, ...], deny: tuple[str, ...]) -> Column:
     def any_of(patterns) -> Column:
         out = F.lit(False)
         for p in patterns:
-            java = to_java(p)
+            java = to_java(p, nesting=True)  # on URLs, which are short
             if java is None:
                 raise ParseError(f"invalid pattern: {p}")
             out = out | value.rlike(java)
@@ -121,21 +144,25 @@ def link_patch(link: Link) -> Column:
     return F.create_map(*pairs).cast(META) if pairs else F.create_map().cast(META)
 
 
-def requests(responses: DataFrame, step: Step) -> DataFrame:
-    """src_url, link_index, link_name, value_index, url, mode, meta, error: links in their order,
-    their values in document order. A required link without a value is a row with an error."""
+def requests(responses: DataFrame, step: Step, keep: tuple[str, ...] = (), sources: Sources | None = None) -> DataFrame:
+    """src_url, link_index, link_name, value_index, url, mode, meta, error and the kept columns: links in
+    their order, their values in document order. A required link without a value is a row with an error."""
     links = list(step.links)
     spark = responses.sparkSession
-    schema = "src_url string, link_index int, link_name string, value_index int, url string, mode string, meta map<string,string>, error string"
+    schema = T._parse_datatype_string("src_url string, link_index int, link_name string, value_index int, url string, mode string, meta map<string,string>, error string")
     if not links:
-        return spark.createDataFrame([], schema)
-    sources = Sources(links)
+        kinds = {f.name: f for f in responses.schema.fields}
+        return spark.createDataFrame([], T.StructType([*schema.fields, *(kinds[k] for k in keep)]))
+    rows = responses
+    if sources is None:
+        sources = Sources(links)
+        rows = sources.on(responses)
     entries = []
     for i, link in enumerate(links):
         urls = F.filter(sources.values(link), _passing(link))
         error = F.when(F.size(urls) == 0, F.lit(f"required link missing: {link.name}")) if link.required else F.lit(None).cast("string")
         entries.append(F.struct(F.lit(i).alias("link_index"), F.lit(link.name).alias("link_name"), urls.alias("urls"), link_patch(link).alias("patch"), error.alias("error")))
     mode = F.col("mode") if "mode" in responses.columns else F.lit("http")
-    rows = sources.on(responses).select(F.col("url").alias("src_url"), mode.alias("mode"), F.col("meta").alias("_meta"), F.explode(F.array(*entries)).alias("e"))
-    each = rows.select("src_url", "e.link_index", "e.link_name", "mode", "_meta", F.col("e.patch").alias("patch"), F.col("e.error").alias("error"), F.posexplode_outer("e.urls").alias("value_index", "url")).filter("url is not null or error is not null")
-    return each.select("src_url", "link_index", "link_name", "value_index", "url", "mode", merge_meta(F.col("_meta"), F.col("patch")).alias("meta"), "error")
+    rows = rows.select(F.col("url").alias("src_url"), mode.alias("mode"), F.col("meta").alias("_meta"), F.explode(F.array(*entries)).alias("e"), *keep)
+    each = rows.select("src_url", "e.link_index", "e.link_name", "mode", "_meta", F.col("e.patch").alias("patch"), F.col("e.error").alias("error"), F.posexplode_outer("e.urls").alias("value_index", "url"), *keep).filter("url is not null or error is not null")
+    return each.select("src_url", "link_index", "link_name", "value_index", "url", "mode", merge_meta(F.col("_meta"), F.col("patch")).alias("meta"), "error", *keep)

@@ -178,7 +178,7 @@ def ai_selector(spark, sf):
 
 @query("SELECT doc_id, trim(replace(text, chr(10), ' ')) AS v FROM documents")
 def trim_unicode(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", trim_column(F.concat(F.lit(" \t"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" \n"))).alias("v"))
+    return t(spark, sf, "documents").select("doc_id", trim_column(F.concat(F.lit(" \t\u00a0\u2003"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\u3000\u2028 \x85\n"))).alias("v"))
 
 
 # --- filters and follow --------------------------------------------------------------------------------
@@ -313,8 +313,13 @@ _ATTEMPTS = "SELECT event_id, CASE event_type WHEN 'error' THEN 500 ELSE 200 END
 
 
 def _attempts(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return t(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), (F.row_number().over(w) - 1).alias("retries"))
+    rows = t(spark, sf, "events").select("event_id", "user_id", F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"))
+    return ops.attempt_number(rows, key=("user_id",), order=("event_id",)).drop("user_id")
+
+
+@query(f"SELECT event_id, CAST(retries AS INTEGER) AS retries FROM ({_ATTEMPTS})")
+def attempt_numbers(spark, sf):
+    return _attempts(spark, sf).select("event_id", "retries")
 
 
 @query(f"SELECT event_id, CASE WHEN status IN (500, 503) AND retries < 20 THEN 'retry' ELSE 'continue' END AS flow FROM ({_ATTEMPTS})")
@@ -339,16 +344,11 @@ def delayed_ready(spark, sf):
     return ops.ready(rows, 1_705_000_000_000).select("event_id")
 
 
-@query("SELECT event_id, event_type AS step, CASE WHEN event_type NOT IN ('view', 'click') THEN 'step not found: ' || event_type END AS error FROM events")
-def step_routing(spark, sf):
-    known = F.col("event_type").isin("view", "click")
-    return t(spark, sf, "events").select("event_id", F.col("event_type").alias("step"), F.when(~known, F.concat(F.lit("step not found: "), F.col("event_type"))).alias("error"))
-
-
-@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority LIKE '1%')")
 def ack_anti(spark, sf):
     inflight = t(spark, sf, "customer").select(F.col("c_custkey").alias("url"))
-    return ops.acked(inflight, t(spark, sf, "orders").select(F.col("o_custkey").alias("url"))).select(F.col("url").alias("c_custkey"))
+    done = t(spark, sf, "orders").filter("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("url"))
+    return ops.acked(inflight, done).select(F.col("url").alias("c_custkey"))
 
 
 @query("SELECT c_custkey, CAST(-1 AS INTEGER) AS priority FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
@@ -362,15 +362,6 @@ def concurrency_waves(spark, sf):
     return ops.wave_of(t(spark, sf, "pages"), 8, order=("page_id",)).select("page_id", "wave")
 
 
-@query("SELECT doc_id, lower(source) AS source, n_chars FROM documents WHERE n_chars > 500 AND lang = 'en'")
-def pipeline_filter_mutate(spark, sf):
-    stages = (lambda d: d.filter("n_chars > 500"), lambda d: d.withColumn("source", F.lower("source")), lambda d: d.filter("lang = 'en'"))
-    out = t(spark, sf, "documents").select("doc_id", "source", "n_chars", "lang")
-    for stage in stages:
-        out = out.transform(stage)
-    return out.drop("lang")
-
-
 @query(f"SELECT count(DISTINCT page_id) AS rounds, count(*) AS follows, max(n) AS most FROM (SELECT page_id, count(*) OVER (PARTITION BY page_id) AS n FROM ({_HREFS}))")
 def output_totals(spark, sf):
     per = css_nav_href(spark, sf).groupBy("page_id").agg(F.count("*").alias("n"))
@@ -409,6 +400,267 @@ def bfs_frontier(spark, sf):
     return result.items.select("page_url")
 
 
+# --- crawls: small graphs of nations and regions ---------------------------------------------------------------
+
+
+def _settings(**more):
+    from webloom.plans.rules import Settings
+
+    return Settings(**({"retry_times": 0, "max_nacks": 0, "concurrent_requests": None, "concurrent_requests_per_domain": 1000} | more))
+
+
+def _rules(*steps: dict) -> dict:
+    return {"type": "inline", "options": {"value": {"steps": list(steps)}}}
+
+
+def _dsl(name: str, fields=(), links=(), **more) -> dict:
+    return {"id": name, "impl": "dsl", "parse": {"fields": list(fields), "links": list(links)}, **more}
+
+
+def _nation_url() -> F.Column:
+    return F.concat(F.lit("http://n.test/"), F.col("n_nationkey").cast("string"))
+
+
+def _nations(spark, sf) -> tuple[DataFrame, list[str]]:
+    """A page for each nation, with its name and a link to its region's page, and those pages. All URLs of nations."""
+    nation, region = t(spark, sf, "nation"), t(spark, sf, "region")
+    reg = F.concat(F.lit("http://r.test/"), F.col("n_regionkey").cast("string"))
+    a = nation.select(_nation_url().alias("url"), F.concat(F.lit("<h1>"), F.col("n_name"), F.lit('</h1><a href="'), reg, F.lit('">r</a>')).alias("text"))
+    b = region.select(F.concat(F.lit("http://r.test/"), F.col("r_regionkey").cast("string")).alias("url"), F.concat(F.lit("<h1>"), F.col("r_name"), F.lit("</h1>")).alias("text"))
+    return a.union(b), [r.url for r in nation.select(_nation_url().alias("url")).orderBy("n_nationkey").collect()]
+
+
+def _crawl(spark, corpus: DataFrame, spider: Spider, *pipelines, **settings):
+    return Engine(CorpusFetcher(corpus), _settings(**settings)).with_pipeline(*pipelines).run(spark, spider)
+
+
+_N = "'http://n.test/' || n_nationkey"
+_R = "'http://r.test/' || n_regionkey"
+
+
+@query(f"SELECT {_R} AS url, 'detail' AS step, r_name AS said FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey % 2 = 0 UNION ALL SELECT {_R}, 'nowhere', 'step not found: nowhere' FROM nation WHERE n_regionkey % 2 = 1")
+def step_routing(spark, sf):
+    corpus, urls = _nations(spark, sf)
+    links = [field("even", "a", allow=["[02468]$"], to={"next_step": "detail"}), field("odd", "a", deny=["[02468]$"], to={"next_step": "nowhere"})]
+    r = _crawl(spark, corpus, Spider("s", urls, rules=_rules(_dsl("parse", links=links), _dsl("detail", [field("name", "h1")]))))
+    items = r.items.select(F.col("page_url").alias("url"), "step", F.get_json_object("item", "$.name").alias("said"))
+    return items.unionByName(r.dead_letter.select("url", "step", F.col("message").alias("said")))
+
+
+@query(f"SELECT {_N} AS page_url, upper(substr(n_name, 1, 3)) || n_regionkey AS v FROM nation WHERE n_nationkey % 3 <> 0 AND n_regionkey <> 4")
+def pipeline_filter_mutate(spark, sf):
+    from webloom.sinks import Each, ItemPipeline
+
+    corpus, urls = _nations(spark, sf)
+    keep = lambda item, spider: None if item["region"].endswith("4") else {"v": item["name"][:3].upper() + item["region"][-1]}
+    fields = [field("name", "h1"), field("region", "a", attribute="attr:href")]
+    r = _crawl(spark, corpus, Spider("s", urls, rules=_rules(_dsl("parse", fields))), ItemPipeline(), lambda d: d.filter("regexp_extract(page_url, '[0-9]+$', 0) % 3 <> 0"), Each(keep))
+    return r.items.select("page_url", F.get_json_object("item", "$.v").alias("v"))
+
+
+@query(f"SELECT {_N} AS url, CASE WHEN n_nationkey % 5 = 0 THEN 'pipeline' ELSE 'item' END AS what, CASE WHEN n_nationkey % 5 = 0 THEN 'ValueError: no ' || n_name ELSE n_name END AS said FROM nation")
+def pipeline_dead_letter(spark, sf):
+    from webloom.sinks import Each
+
+    def check(item: dict, spider: str) -> dict:
+        if int(item["name"].split("_")[1]) % 5 == 0:
+            raise ValueError("no " + item["name"])
+        return item
+
+    corpus, urls = _nations(spark, sf)
+    r = _crawl(spark, corpus, Spider("s", urls, rules=_rules(_dsl("parse", [field("name", "h1")]))), Each(check))
+    items = r.items.select(F.col("page_url").alias("url"), F.lit("item").alias("what"), F.get_json_object("item", "$.name").alias("said"))
+    return items.unionByName(r.dead_letter.select("url", F.col("kind").alias("what"), F.col("message").alias("said")))
+
+
+@query(f"SELECT {_N} AS src_url, {_R} AS url FROM nation, range(2)")
+def duplicate_seeds(spark, sf):
+    corpus, urls = _nations(spark, sf)
+    r = _crawl(spark, corpus, Spider("s", urls * 2, rules=_rules(_dsl("parse", links=[field("r", "a")]))))
+    return r.requests.select("src_url", "url")
+
+
+@query(f"SELECT {_N} AS page_url, '{{\"x-key\":[\"' || n_nationkey || '\"]}}' AS asked, '{{\"set-cookie\":[\"second\"]}}' AS answered, CAST(1 AS BIGINT) AS retries FROM nation")
+def retry_headers(spark, sf):
+    from webloom.requests import Request
+
+    corpus, urls = _nations(spark, sf)
+    tries = spark.createDataFrame([(0, 500, "first"), (1, 200, "second")], "attempt int, status int, cookie string")
+    both = corpus.crossJoin(F.broadcast(tries)).withColumn("headers", F.create_map(F.lit("set-cookie"), F.array("cookie")))
+    spider = Spider("s", start_requests=[Request(u).with_header("x-key", u.rpartition("/")[2]) for u in urls])
+
+    @spider.callback
+    def parse(rows):
+        seen = F.struct(F.to_json("request.headers").alias("asked"), F.to_json("headers").alias("answered"), F.col("retries").alias("retries"))
+        return rows.select("seq", F.to_json(seen).alias("item")), None
+
+    r = _crawl(spark, both, spider, retry_times=1, retry_http_codes=(500,))
+    return r.items.select("page_url", F.get_json_object("item", "$.asked").alias("asked"), F.get_json_object("item", "$.answered").alias("answered"), F.get_json_object("item", "$.retries").cast("long").alias("retries"))
+
+
+@query(f"SELECT {_N} AS page_url, '{{\"error\":\"' || n_name || '\",\"item\":null,\"seq\":\"' || n_name || '\",\"url\":\"' || {_R} || '\"}}' AS item FROM nation")
+def field_named_url(spark, sf):
+    corpus, urls = _nations(spark, sf)
+    fields = [field("url", "a", attribute="attr:href"), field("seq", "h1"), field("error", "h1"), field("item", "h6")]
+    return _crawl(spark, corpus, Spider("s", urls, rules=_rules(_dsl("parse", fields)))).items.select("page_url", "item")
+
+
+@query("SELECT CAST(ceil(count(*) / 4.0) AS BIGINT) AS waves, count(*) AS fetches, count(*) AS rounds FROM nation")
+def global_waves(spark, sf):
+    corpus, urls = _nations(spark, sf)
+    r = _crawl(spark, corpus, Spider("s", urls, rules=_rules(_dsl("parse", [field("n", "h1")]))), concurrent_requests=4)
+    return spark.createDataFrame([(r.waves, r.fetches, r.rounds)], "waves long, fetches long, rounds long")
+
+
+@query(f"SELECT page_id, CAST((row_number() OVER (ORDER BY w, page_id) - 1) // 20 AS BIGINT) AS wave FROM (SELECT page_id, (row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) - 1) // 3 AS w FROM pages)")
+def concurrency_waves_at_once(spark, sf):
+    return ops.wave_of(t(spark, sf, "pages"), 3, at_once=20, order=("page_id",)).select("page_id", "wave")
+
+
+@query(f"SELECT {_N} AS page_url, 'retry by error: parse error: required field missing: name' AS reason, n_name AS name FROM nation")
+def retry_parse_error(spark, sf):
+    from webloom.plans.rules import Middleware
+
+    corpus, urls = _nations(spark, sf)
+    both = corpus.withColumn("attempt", F.lit(1)).union(corpus.withColumn("text", F.lit("<p>")).withColumn("attempt", F.lit(0)))
+    fields = [field("name", "h1", required=True), field("reason", "x", "meta._retry_reason")]
+    again = {"retry_by_error": Middleware(type="spider", options={"count": [1]})}
+    r = _crawl(spark, both, Spider("s", urls, rules=_rules(_dsl("parse", fields))), middlewares=again)
+    return r.items.select("page_url", F.get_json_object("item", "$.reason").alias("reason"), F.get_json_object("item", "$.name").alias("name"))
+
+
+@query(f"SELECT {_N} AS page_url, 'parse' AS step, CAST(1 AS BIGINT) AS items, CAST(1 AS BIGINT) AS follows FROM nation UNION ALL SELECT {_R}, 'end', 1, 0 FROM (SELECT DISTINCT n_regionkey FROM nation)")
+def rounds_of_a_crawl(spark, sf):
+    corpus, urls = _nations(spark, sf)
+    steps = _rules(_dsl("parse", [field("n", "h1")], [field("r", "a", to={"next_step": "end"})]), _dsl("end", [field("n", "h1")], MIDDLEWARES={"dedup": {}}))
+    return _crawl(spark, corpus, Spider("s", urls, rules=steps)).by_round.select("page_url", "step", "items", "follows")
+
+
+@query(f"SELECT {_N} AS url, CASE n_nationkey % 3 WHEN 0 THEN 200 WHEN 1 THEN 200 END AS status, CASE n_nationkey % 3 WHEN 0 THEN 'HTTP/1.1' WHEN 1 THEN 'browser' END AS protocol, CASE n_nationkey % 3 WHEN 1 THEN 'browser' ELSE '' END AS flags, CASE WHEN n_nationkey % 3 = 2 THEN 'unsupported mode: telnet' END AS error FROM nation")
+def mode_router(spark, sf):
+    from webloom.sources.fetch import Router
+
+    corpus, _ = _nations(spark, sf)
+    mode = F.element_at(F.array(F.lit("http"), F.lit("browser"), F.lit("telnet")), F.col("n_nationkey") % 3 + 1)
+    asked = t(spark, sf, "nation").select(_nation_url().alias("url"), mode.alias("mode"), F.create_map().cast("map<string,string>").alias("meta"))
+    got = Router(CorpusFetcher(corpus)).fetch(asked)
+    return got.select("url", "status", "protocol", F.array_join("flags", " ").alias("flags"), F.col("error.message").alias("error"))
+
+
+@query(f"SELECT {_N} AS url, chr(65533) || n_name || chr(65533) AS text FROM nation")
+def lossy_utf8(spark, sf):
+    from webloom.sources.fetch import lossy_text
+
+    body = F.concat(F.unhex(F.lit("FF")), F.col("n_name").cast("binary"), F.unhex(F.lit("C3")))
+    return t(spark, sf, "nation").select(_nation_url().alias("url"), lossy_text(body).alias("text"))
+
+
+@query("SELECT n_regionkey, array_to_string(list(n_name ORDER BY n_nationkey), ' ') AS names, CAST(1 AS INTEGER) AS n FROM nation GROUP BY n_regionkey")
+def header_grouping(spark, sf):
+    from webloom.sources.fetch import collected_headers
+
+    pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    rows = t(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
+    pairs = F.concat(F.transform("n", lambda x: pair("x-name", x["n_name"])), F.transform("n", lambda x: pair("x-bad", F.concat(x["n_name"], F.lit("\u00e9")))))
+    got = rows.select("n_regionkey", collected_headers(pairs).alias("h"))
+    return got.select("n_regionkey", F.array_join(F.col("h")["x-name"], " ").alias("names"), F.size("h").alias("n"))
+
+
+@query("SELECT CAST(v AS INTEGER) AS v, name FROM (VALUES (9, 'HTTP/0.9'), (10, 'HTTP/1.0'), (11, 'HTTP/1.1'), (20, 'HTTP/2'), (30, 'HTTP/3'), (99, 'HTTP/unknown')) x(v, name)")
+def http_versions(spark, sf):
+    from webloom.sources.fetch import http_version
+
+    return spark.createDataFrame([(v, http_version(v)) for v in (9, 10, 11, 20, 30, 99)], "v int, name string")
+
+
+@query("SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS k FROM events) e WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id < 100 AND s.event_type = e.event_type AND s.user_id = e.user_id)")
+def dedup_seen(spark, sf):
+    rows = _arrivals(spark, sf)
+    return ops.dedup(rows, "event_type", partition=("step",), seen=rows.filter("event_id < 100")).select("event_id")
+
+
+@query("SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS id, p_name AS name, trim(p_name) AS html, 'x' AS none FROM part")
+def xpath_fields(spark, sf):
+    rows = _part_xml(spark, sf).select("p_partkey", F.lit("u").alias("url"), F.col("xml").alias("text"), F.create_map().cast("map<string,string>").alias("meta"))
+    fields = [field("id", "/p", "xml", "xml", attribute="attr:id"), field("name", "//n", "xml", "xpath"), field("html", "//n", "xml", "xpath", attribute="html"), field("none", "//q", "xml", "xpath", default="x")]
+    return planner.items(rows, step_of(fields), keep=("p_partkey",)).select("p_partkey", "id", "name", "html", "none")
+
+
+@query("SELECT p_partkey, p_name AS v FROM part")
+def xpath_html(spark, sf):
+    return _part_xml(spark, sf).select("p_partkey", X.xpath("xml", "/p/n").html().one().alias("v"))
+
+
+@query("SELECT page_id, nullif(regexp_extract(url, '/([a-z]{2})/([0-9]+)', 2), '') AS n FROM pages")
+def regex_group_field(spark, sf):
+    rows = responses(spark, sf).withColumn("text", F.col("url"))
+    return planner.items(rows, step_of([field("n", "/([a-z]{2})/([0-9]+)", "text", "regex", attribute="group:2")]), keep=("page_id",)).select("page_id", "n")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS whole FROM events")
+def json_value(spark, sf):
+    rows = t(spark, sf, "events")
+    return rows.select("event_id", F.try_variant_get(X.json("props", "$.k").value(), "$", "bigint").alias("k"), F.to_json(X.json("props").value()).alias("whole"))
+
+
+@query(f"SELECT page_id, split_part(page, '/', 1) || '//' || split_part(page, '/', 3) || href AS url FROM ({_HREFS})")
+def resolve_urls(spark, sf):
+    from webloom.engine import _joined
+
+    rows = t(spark, sf, "pages").select("page_id", "url", F.explode(X.css("html", "nav ul > li a").attr("href").all()).alias("href"))
+    return rows.select("page_id", _joined(F.col("url"), F.col("href")).alias("url"))
+
+
+@query(f"SELECT {_N} AS url, CAST(CASE WHEN n_nationkey % 2 = 0 THEN -1 ELSE 0 END AS INTEGER) AS priority, CAST(CASE WHEN n_nationkey < 10 AND n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS nacks FROM nation WHERE n_nationkey >= 10 AND false OR n_nationkey < 10 AND n_nationkey % 2 = 0 UNION ALL SELECT {_N}, 0, 0 FROM nation WHERE n_nationkey >= 10")
+def scheduler_lease(spark, sf):
+    """Ten tasks are leased; the even ones fail and come back, the odd ones are done."""
+    from webloom.operators.scheduler import TableScheduler
+    from webloom.requests import frame
+
+    _, urls = _nations(spark, sf)
+    s = TableScheduler()
+    s.open(spark)
+    s.enqueue(frame(spark, urls))
+    leased = s.lease(0, 1000, 10)
+    s.nack(leased.filter("seq % 2 = 0").select("seq"))
+    s.ack(leased.filter("seq % 2 = 1").select("seq"))
+    return s.pending().select("url", "priority", "nacks")
+
+
+@query("""SELECT * FROM (VALUES ('http://a/', 'http', 'GET', CAST(NULL AS VARCHAR), true, false, CAST(NULL AS VARCHAR)),
+('http://b/', 'browser', 'GET', NULL, false, true, '1024x768 firefox'), ('http://c/', 'http', 'POST', 'k=1', true, false, NULL),
+('http://d/', 'browser', 'GET', NULL, false, true, '1280x720 chrome'), ('http://e/', 'http', 'GET', 'a=1 b=2', true, false, NULL)) v(url, mode, method, cookies, http, browser, view)""")
+def request_builders(spark, sf):
+    from webloom.requests import BrowserConfig, frame, Request
+
+    made = [
+        Request("http://a/"),
+        Request.in_browser("http://b/").with_browser(BrowserConfig().with_viewport(1024, 768).with_engine("firefox")),
+        Request.in_browser("http://c/").with_method("POST").with_body("x").with_cookie("k", "1"),
+        Request("http://d/").with_cookie("k", "1").with_mode("browser").with_browser(BrowserConfig(engine="chrome")),
+        Request("http://e/").with_cookies({"b": "2", "a": "1"}).with_meta("page", 1).merge_meta({"page": 2}),
+    ]
+    cookies = F.array_join(F.transform(F.array_sort(F.map_entries("http.cookies")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")
+    view = F.concat_ws(" ", F.concat(F.col("browser.width").cast("string"), F.lit("x"), F.col("browser.height").cast("string")), "browser.engine")
+    return frame(spark, made).select("url", "mode", "method", F.nullif(cookies, F.lit("")).alias("cookies"), F.col("http").isNotNull().alias("http"), F.col("browser").isNotNull().alias("browser"), F.when(F.col("browser").isNotNull(), view).alias("view"))
+
+
+@query("SELECT * FROM (VALUES ('list', 'http', 'POST', 'v', 'b', CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER)), ('page', 'browser', 'GET', NULL, NULL, 'google_chrome', 800)) v(step, mode, method, header, body, engine, width)")
+def fetch_plans(spark, sf):
+    fetches = [("list", {"request": {"method": "POST", "headers": {"x-token": "v"}, "body": "b"}}), ("page", {"mode": "browser", "browser": {"engine": "google-chrome", "viewport": {"width": 800}}})]
+    steps = compile_rules({"steps": [{"id": n, "impl": "dsl", "fetch": f} for n, f in fetches]}).steps
+    rows = [(s.id, s.fetch.mode, s.fetch.method, (s.fetch.headers.get("x-token") or [None])[0], s.fetch.body.decode() if s.fetch.body else None, (s.fetch.browser or {}).get("engine"), (s.fetch.browser or {}).get("width")) for s in steps]
+    return spark.createDataFrame(rows, "step string, mode string, method string, header string, body string, engine string, width int")
+
+
+@query(f"SELECT n_nationkey, 'sha256:' || lower(to_hex(CAST(list_reduce(list_transform(string_split('secret' || {_N}, ''), lambda c: CAST(unicode(c) AS HUGEINT)), lambda a, b: (a * 31 + b) % 18446744073709551616::HUGEINT, 0::HUGEINT) AS UBIGINT))) AS signature FROM nation")
+def signatures(spark, sf):
+    from webloom.hooks import SignatureHook
+
+    rows = t(spark, sf, "nation").select("n_nationkey", _nation_url().alias("url"), F.create_map().cast("map<string,array<string>>").alias("headers"))
+    return SignatureHook({"secret": "secret"}).process_request(rows).select("n_nationkey", F.col("headers")["X-Signature"][0].alias("signature"))
+
+
 def minimum_slice(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: a rules document over all pages."""
     step = step_of([field("title", ["article h1", "h1"]), field("nav", "nav a", attribute="attr:href", multiple=True)], [field("nav", "nav a", deny=["^/the"], to={"next_step": "parse"})])

@@ -335,7 +335,7 @@ class Settings:
     """Defaults of a run. runtime_override takes the place of what the other settings say."""
 
     download_delay_ms: int = 0
-    concurrent_requests: int = 16
+    concurrent_requests: int | None = 16
     concurrent_requests_per_domain: int = 8
     retry_times: int = 2
     retry_http_codes: tuple[int, ...] = (500, 502, 503, 504, 408)
