@@ -6,6 +6,7 @@ HTML, once as XML and once as JSON. Every selector is total: what can't be read
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -154,6 +155,13 @@ class Query:
         return F.try_parse_json(F.get(extract(self.column, [Spec("json", self.spec.selector, "value")])["s0"], F.lit(0)))
 
 
+def together(column, **queries: Query) -> Column:
+    """A struct of the values that several queries give of one column, by one pass over its texts."""
+    specs = [q.spec for q in queries.values()]
+    found = extract(_column(column), list(dict.fromkeys(specs)))
+    return F.struct(*(found[f"s{list(dict.fromkeys(specs)).index(q.spec)}"].alias(name) for name, q in queries.items()))
+
+
 def css(column, selector: str) -> Query:
     return Query(_column(column), "css", selector)
 
@@ -182,25 +190,28 @@ def _column(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@functools.cache
+def _feed():
+    """One function for all that is asked of a feed, so that a text is parsed once."""
+    items = pa.list_(pa.struct([(f, pa.string()) for f in FIELDS]))
+    kind = pa.struct([("title", pa.string()), ("items", items)])
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([{"title": feed_title(t), "items": feed_items(t)} for t in (x.as_py() or "" for x in batch)], kind)
+
+    return F.arrow_udf(run, T.StructType([T.StructField("title", T.StringType()), T.StructField("items", T.ArrayType(FEED_ITEM))]))
+
+
 class Feed:
     def __init__(self, column):
-        self.column = _column(column)
+        self.parsed = _feed()(_column(column))
 
     def title(self) -> Column:
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
-                yield pa.array([feed_title(t.as_py() or "") for t in batch], pa.string())
-
-        return F.arrow_udf(run, T.StringType())(self.column)
+        return self.parsed["title"]
 
     def items(self) -> Column:
-        kind = pa.list_(pa.struct([(f, pa.string()) for f in FIELDS]))
-
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
-                yield pa.array([feed_items(t.as_py() or "") for t in batch], kind)
-
-        return F.arrow_udf(run, T.ArrayType(FEED_ITEM))(self.column)
+        return self.parsed["items"]
 
     def links(self) -> Column:
         return F.array_compact(self.items()["link"])

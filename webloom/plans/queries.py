@@ -591,6 +591,12 @@ def xpath_html(spark, sf):
     return _part_xml(spark, sf).select("p_partkey", X.xpath("xml", "/p/n").html().one().alias("v"))
 
 
+@query(f"SELECT page_id, trim({_DECODE.format(chr(114) + 'egexp_extract(html, ' + chr(39) + '<title>(.*?)</title>' + chr(39) + ', 1)')}) AS title, CAST(len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS INTEGER) AS links FROM pages")
+def queries_together(spark, sf):
+    found = X.together("html", title=X.css("html", "title").text(), links=X.css("html", "nav a").attr("href"))
+    return t(spark, sf, "pages").select("page_id", found.alias("f")).select("page_id", F.get("f.title", F.lit(0)).alias("title"), F.size("f.links").alias("links"))
+
+
 @query("SELECT page_id, nullif(regexp_extract(url, '/([a-z]{2})/([0-9]+)', 2), '') AS n FROM pages")
 def regex_group_field(spark, sf):
     rows = responses(spark, sf).withColumn("text", F.col("url"))
