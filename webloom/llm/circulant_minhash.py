@@ -11,8 +11,8 @@ bucket of n texts does not cost n * n comparisons, buckets are resolved in round
 member is compared with the bucket's least document. In the next ones a bucket whose members are not
 yet in one component goes on. In STAR_ROUNDS of them each member that is not in the bucket's largest
 component is compared with one document of that. Then what is left of a bucket goes on: a small one
-(SMALL_BUCKET members at most) with the pairs of different
-components, which finishes it; a larger one with the pairs of a member and a centre of another
+(SMALL_BUCKET members and SMALL_SHINGLES in all at most) is brought to one task with its members' sets, whose
+common shingles are counted by a product of matrices, which finishes it; a larger one with the pairs of a member and a centre of another
 component. Its centres are CENTRES of the members that are not in its largest component, in later rounds
 more, MOST_CENTRES at most. A centre that has met all members leaves the bucket. When no bucket is left, every pair
 of a bucket was compared or is in one component, so the result is that of comparing all candidates.
@@ -49,8 +49,9 @@ BANDS = 40
 ROWS = 4
 UNIVERSE = 1 << 20
 THRESHOLD = 0.5
-STAR_ROUNDS = 4
+STAR_ROUNDS = 1
 SMALL_BUCKET = 256
+SMALL_SHINGLES = 2_000_000
 CENTRES, MOST_CENTRES = 32, 512
 #: Pairs of a document, at least, for which its shingle set is sent to several tasks.
 HOT_PAIRS = 10_000
@@ -221,9 +222,10 @@ def groups(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = SHINGL
     # texts of one document are in one component
     several = own.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1").select("doc_id")
     found = stored(copies.filter("doc_id != node").join(several, "doc_id", "left_semi").select(F.col("node").alias("a"), F.col("doc_id").alias("b")), "near-bridges")
-    alive, pairs, seen, r = members.filter("doc != centre"), members.filter("doc != centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")), None, 0
     sizes = sets.groupBy("doc_id").agg(F.min(F.size("s")).alias("least"), F.max(F.size("s")).alias("most"))
     sizes = stored(sizes, "near-sizes")
+    alive = members.filter("doc != centre").select("key", "doc").join(sizes.select(F.col("doc_id").alias("doc"), F.col("most").cast("long").alias("size")), "doc")
+    alive, pairs, seen, r = stored(alive, "near-alive"), members.filter("doc != centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")), None, 0
     while True:
         new = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"])
         new = new if seen is None else new.join(seen, ["lo", "hi"], "left_anti")
@@ -232,11 +234,16 @@ def groups(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = SHINGL
         checked = stored(_verify(new.select("a", "b"), sets), f"near-checked{r}")
         found = found.unionByName(checked.filter(F.col("j") >= threshold).select("a", "b"))
         labels = stored(components(found), f"near-labels{r}")
-        going_on = _open(alive.select("key", "doc"), labels, r, small, 0 if r < stars else min(centres * 4 ** (r - stars), max(centres, MOST_CENTRES)))
+        going_on = _open(alive.select("key", "doc", "size"), labels, r, small, 0 if r < stars else min(centres * 4 ** (r - stars), max(centres, MOST_CENTRES)))
         r += 1
         if going_on is None:
             break
-        alive, pairs = going_on
+        alive, pairs, few = going_on
+        if few is not None:
+            found = found.unionByName(stored(_within(few, sets, threshold), f"near-within{r}"))
+        if alive is None:
+            labels = stored(components(found), f"near-labels{r}")
+            break
 
     per_node = stored(copied.groupBy("node").agg(F.sum("docs").alias("docs")).join(labels, "node", "left").select("node", "docs", F.coalesce("label", "node").alias("group_id")), "near-nodes")
     of_copies = spread(copies.select("doc_id", "node"), per_node, "node", "docs", "doc_id").select("doc_id", "group_id")
@@ -282,33 +289,75 @@ def _of_like_sizes(pairs: DataFrame, sizes: DataFrame, threshold: float) -> Data
     return met.filter((F.col("ma") >= threshold * F.col("lb")) & (F.col("mb") >= threshold * F.col("la")))
 
 
-def _open(alive: DataFrame, labels: DataFrame, r: int, small: int, centres: int) -> tuple[DataFrame, DataFrame] | None:
-    """(members that go on after this round, pairs of this round) of the buckets whose members are not yet in one
-    component; None if there is none. In a pair of a centre and a member the centre is a. Without centres it is a
-star round."""
-    labelled = alive.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
-    per = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("doc", F.xxhash64("doc", F.lit(r))).alias("head"))
-    per = per.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label", "head")).alias("top"), F.count("*").alias("labels"))
-    per = stored(per.filter("labels > 1").select("key", "n", F.col("top.label").alias("top"), F.col("top.head").alias("head")), f"near-open{r}")
+def _open(alive: DataFrame, labels: DataFrame, r: int, small: int, centres: int) -> tuple[DataFrame, DataFrame, DataFrame | None] | None:
+    """(members that go on after this round, pairs of this round, members of small buckets) of the buckets whose
+    members are not yet in one component; None if there is none, None for the first two if all are small. In a pair of a centre and a member the
+    centre is a. Without centres it is a star round."""
+    labelled = alive.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "size", F.coalesce("label", "doc").alias("label"))
+    per = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min_by("doc", F.xxhash64("doc", F.lit(r))).alias("head"))
+    per = per.groupBy("key").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "label", "head")).alias("top"), F.count("*").alias("labels"))
+    per = stored(per.filter("labels > 1").select("key", "n", "shingles", F.col("top.label").alias("top"), F.col("top.head").alias("head")), f"near-open{r}")
     if per.isEmpty():
         return None
     going = stored(spread(labelled, per, "key", "n", "doc"), f"near-going{r}")
     if not centres:
-        return going, going.filter("label != top").select(F.col("head").alias("a"), F.col("doc").alias("b"))
-    few = going.filter(F.col("n") <= small).groupBy("key").agg(F.collect_list(F.struct("doc", "label")).alias("m"))
-    x = few.select("m", F.explode("m").alias("x"))
-    others = F.filter("m", lambda y: (y["doc"] > F.col("x.doc")) & (y["label"] != F.col("x.label")))
-    pairs = x.select(F.col("x.doc").alias("a"), F.explode(F.transform(others, lambda y: y["doc"])).alias("b"))
-    many = going.filter(F.col("n") > small)
+        return going, going.filter("label != top").select(F.col("head").alias("a"), F.col("doc").alias("b")), None
+    fits = (F.col("n") <= small) & (F.col("shingles") <= SMALL_SHINGLES)
+    few, many = going.filter(fits), going.filter(~fits)
     if many.isEmpty():
-        return many, pairs
+        return None, None, few
     order = Window.partitionBy("key").orderBy(F.xxhash64("doc", F.lit(r)), "doc")  # a limit in each task comes before the shuffle
     heads = many.filter("label != top").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= centres)
     heads = stored(heads.groupBy("key").agg(F.collect_list(F.struct("doc", "label")).alias("heads"), F.max("n").alias("n")), f"near-heads{r}")
-    met = stored(spread(many.select("key", "doc", "label"), heads, "key", "n", "doc"), f"near-met{r}")
+    met = stored(spread(many.select("key", "doc", "size", "label"), heads, "key", "n", "doc"), f"near-met{r}")
     h = met.select("doc", "label", F.explode("heads").alias("h")).filter("h.label != label")
-    pairs = pairs.unionByName(h.select(F.col("h.doc").alias("a"), F.col("doc").alias("b")))
-    return met.filter(~F.array_contains("heads.doc", F.col("doc"))), pairs
+    return met.filter(~F.array_contains("heads.doc", F.col("doc"))), h.select(F.col("h.doc").alias("a"), F.col("doc").alias("b")), few
+
+
+def _within(few: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b of different components that reach the threshold, of the members of small buckets; equal buckets count once."""
+    lists = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc", "label"))).alias("m")).dropDuplicates(["m"])
+    member = lists.select("key", F.explode("m").alias("x")).select("key", "x.doc", "x.label")
+    whole = member.join(sets.withColumnRenamed("doc_id", "doc"), "doc").groupBy("key").agg(F.collect_list(F.struct("doc", "label", "s")).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("m").flatten()
+            doc, label = (flat.field(c).to_numpy() for c in ("doc", "label"))
+            size = pc.list_value_length(flat.field("s")).to_numpy(zero_copy_only=False)
+            values = flat.field("s").flatten().to_numpy()
+            ends = np.cumsum(pc.list_value_length(batch.column("m")).to_numpy(zero_copy_only=False))
+            at, upto = np.concatenate([[0], np.cumsum(size)]), 0
+            found = [np.zeros((2, 0), np.int64)]
+            for end in ends.tolist():
+                a, b = similar(values[at[upto] : at[end]], size[upto:end], threshold)
+                a, b = a + upto, b + upto
+                other = (label[a] != label[b]) & (doc[a] != doc[b])
+                found.append(np.stack([doc[a[other]], doc[b[other]]]))
+                upto = end
+            out = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
+
+    return whole.select("m").mapInArrow(frugal(run), "a long, b long").distinct()
+
+
+def similar(values: np.ndarray, size: np.ndarray, threshold: float, at_once: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets that reach the threshold; the sets lie one after another in values."""
+    n = len(size)
+    _, which, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times > 1  # what one set alone has is in no intersection
+    member, column = np.repeat(np.arange(n), size)[shared[which]], (np.cumsum(shared) - 1)[which[shared[which]]]
+    order = np.argsort(column, kind="stable")
+    member, column = member[order], column[order]
+    common = np.zeros((n, n), np.float64)
+    for lo in range(0, int(shared.sum()), at_once):
+        a, b = np.searchsorted(column, [lo, lo + at_once])
+        m = np.zeros((n, at_once), np.float32)
+        m[member[a:b], column[a:b] - lo] = 1
+        common += m @ m.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        j = common / (size[:, None] + size[None, :] - common)
+    return np.nonzero(np.triu(j >= threshold, 1))
 
 
 def kept(docs: DataFrame, **options) -> DataFrame:
