@@ -179,6 +179,49 @@ def test_classifier_held_out(spark):
     assert sum(not k for k, q in got if q) / sum(q for _, q in got) < 0.03
 
 
+def brute_score(model, text):
+    """One document by loops: passages, features, gates, attention."""
+    raw = (text or "").encode()
+    bags = [raw[i : i + attention_mil.PASSAGE_BYTES] for i in range(0, len(raw), attention_mil.PASSAGE_BYTES)] or [b""]
+    hidden, energy = [], []
+    for k, bag in enumerate(bags):
+        x = [0.0] * attention_mil.WIDTH
+        for i in range(len(bag)):
+            at = k * attention_mil.PASSAGE_BYTES + i
+            a, b, c = (*raw[at : at + 3], 0, 0)[:3]
+            h = (a * 2654435761 + b * 2246822519 + c * 3266489917) % 2**32
+            h ^= h >> 15
+            x[(h * 668265263 % 2**32) >> 24] += 1
+            kind = 0 if 65 <= a <= 90 else 1 if 48 <= a <= 57 else 2 if a in b"\t\n\v\f\r " else 4 if a >= 128 else 3 if 33 <= a <= 126 and not chr(a).isalnum() else None
+            if kind is not None:
+                x[attention_mil.BUCKETS + kind] += 2 / len(bag)
+        x[: attention_mil.BUCKETS] = [math.sqrt(v / max(len(bag), 1)) for v in x[: attention_mil.BUCKETS]]
+        x[-1] = len(bag) / attention_mil.PASSAGE_BYTES
+        hid = [math.tanh(sum(x[i] * model.E[i][j] for i in range(len(x)) if x[i]) + model.e[j]) for j in range(len(model.e))]
+        t = [math.tanh(sum(hid[i] * model.V[i][j] for i in range(len(hid)))) for j in range(len(hid))]
+        g = [1 / (1 + math.exp(-sum(hid[i] * model.U[i][j] for i in range(len(hid))))) for j in range(len(hid))]
+        hidden.append(hid)
+        energy.append(math.exp(sum(a * b * w for a, b, w in zip(t, g, model.w))))
+    z = [sum(a * h[j] for a, h in zip(energy, hidden)) / sum(energy) for j in range(len(model.e))]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, model.c)) + float(model.b[0]))))
+
+
+def test_scores_equal_brute_force(spark):
+    texts = [*EDGE[:5], EDGE[6], "The quick brown fox. " * 90, "BUY!! " * 200, "ünï " * 300]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int").withColumn("text", F.lit("x"))
+    model, _ = attention_mil.train(docs, labels)
+    got = {r.doc_id: r.score for r in attention_mil.score(docs, labels).collect()}
+    assert all(math.isclose(got[i], brute_score(model, t), abs_tol=2e-4) for i, t in enumerate(texts))
+
+
+def test_long_documents_do_not_train(spark):
+    docs = documents(spark, ["good " * 40, "bad " * 40, LONG])
+    labels = lambda *y: spark.createDataFrame([(i, v) for i, v in enumerate(y)], "doc_id long, quality int")
+    a, b = (attention_mil.train(docs, labels(1, 0, v))[0] for v in (0, 1))
+    assert len(LONG.encode()) > attention_mil.MAX_LABELLED_BYTES and (a.E == b.E).all()
+
+
 def test_classifier_edges(spark):
     docs = documents(spark, EDGE)
     labels = spark.createDataFrame([(3, 1), (3, None), (5, 0), (5, 0), (7, 1), (99, 0)], "doc_id long, quality int")
@@ -510,7 +553,16 @@ def test_groups_equal_brute_force(spark):
     assert left == set(range(len(texts))) - {i for i, g in got.items() if i != g}
 
 
-@pytest.mark.parametrize(("stars", "small", "centres"), [(0, 0, 1), (0, 0, 8), (2, 0, 8), (0, 1000, 8)])
+def test_similar_equals_intersections():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 9):
+        sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))) for _ in range(n)]
+        got = circulant_minhash.similar(np.concatenate([np.zeros(0, np.int64), *sets]), np.array([len(x) for x in sets], np.int64), 0.5, at_once=7)
+        want = [(i, j) for i, j in itertools.combinations(range(n), 2) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.5]
+        assert list(zip(*(x.tolist() for x in got))) == want
+
+
+@pytest.mark.parametrize(("stars", "small", "centres"), [(0, 0, 1), (0, 0, 8), (2, 0, 8), (0, 1000, 8), (1, 20, 2)])
 def test_all_rounds_and_cluster_components(spark, monkeypatch, stars, small, centres):
     common_part = " ".join(f"c{i}" for i in range(30))  # one bucket, several components
     texts = families(4, 8) + [f"{common_part} {' '.join(f'p{j}x{i // 3}' for i in range(60))}" for j in range(12)] * 2
@@ -586,6 +638,60 @@ def test_url_edges(spark):
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
+def brute_rules(text, lang):
+    """Whether the quality rules keep a text, by encoding all of it."""
+    flat = " ".join((text or "").split())
+    if not flat:
+        return False
+    for name, path in fertility.VOCABULARIES.items():
+        model = wp.sentencepiece_model(path) if name == "pieces" else wp.tiktoken_model(path)
+        ids = model.encode(flat) if name == "pieces" else model.encode_ordinary(flat)
+        if len(ids) < fertility.MIN_TOKENS:
+            continue
+        byte = sum(model.is_byte(i) if name == "pieces" else "\ufffd" in model.decode_single_token_bytes(i).decode(errors="replace") for i in ids)
+        p = np.array(list(collections.Counter(ids).values())) / len(ids)
+        band = fertility.BANDS[lang][name]
+        ok = band.least_chars <= len(flat) / len(ids) <= band.most_chars and byte / len(ids) <= band.most_bytes
+        if not ok or -(p * np.log2(p)).sum() < band.least_entropy_share * math.log2(min(len(ids), 1024)):
+            return False
+    return True
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    model, _ = attention_mil.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    left = [d for d in sorted(rows) if brute_score(model, rows[d].text) >= attention_mil.THRESHOLD]
+    left = [d for d in left if brute_rules(rows[d].text, rows[d].lang)]
+    group = brute_groups([rows[d].text for d in left])
+    left = [d for i, d in enumerate(left) if group.get(i, i) == i]
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    texts = {}
+    for d in left:
+        t, at, out = rows[d].text, 0, []
+        for a, b in brute_spans(t, items):
+            out.append(t[at:a])
+            at = b
+        t = "".join([*out, t[at:]])
+        if t.strip():
+            texts[d] = t
+    counter = wp.sentencepiece_model(packing.VOCABULARY)
+    size = {d: len(counter.encode(" ".join(t.split()))) for d, t in texts.items()}
+    queue = collections.defaultdict(list)
+    for d in sorted(texts):
+        queue[rows[d].source].append(d)
+    totals = {s: sum(size[d] for d in q) for s, q in queue.items()}
+    weights = {r.source: r.weight for r in packing.weighed(spark.createDataFrame(list(totals.items()), "source string, tokens long"), None, packing.ALPHA).collect()}
+    tokens = {s: [(d, i) for d in q for i in range(size[d])] for s, q in queue.items()}
+    want = [tokens[s][first + i] for s, first, n in round_robin(totals, weights, packing.WINDOW) for i in range(n)]
+    got = corpus_pipeline.run(spark, SF, str(tmp_path / "stages")).collect()
+    assert [(r.doc_id, r.doc_start + i) for r in sorted(got, key=lambda r: (r.window_id, r.position)) for i in range(r.n_tokens)] == want
+    kept = spark.read.parquet(str(tmp_path / "stages" / "decontamination"))
+    assert {r.doc_id: r.text for r in kept.collect()} == texts and kept.columns == docs.columns
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -597,5 +703,8 @@ def test_pipeline(spark):
         assert 0 < left.count() <= docs.count()
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in left.collect()}
+    odd = docs.limit(5).unionByName(docs.limit(5)).unionByName(docs.limit(3).withColumns({"doc_id": F.lit(None).cast("long"), "source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("long")}))
+    odd = odd.unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(2).withColumn("text", F.lit("")))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+        assert stage(spark, odd, SF).count() > 0, name

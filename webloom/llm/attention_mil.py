@@ -6,7 +6,8 @@ passage x to h = tanh(x E + e), weighs it by gated attention
 a ~ exp(w . (tanh(V h) * sigmoid(U h))), and scores the document by a logistic function of the
 weighted sum of its h. All weights are learned together from the documents' labels by Adam.
 
-``MAX_LABELLED`` bounds the labelled documents that train; which ones is fixed by a hash of doc_id.
+``MAX_LABELLED`` bounds the labelled documents that train; which ones is fixed by a hash of doc_id. Of those
+the ones of more than ``MAX_LABELLED_BYTES`` don't train (their labels count for the mean), so what comes to the driver is bounded in bytes too.
 Scoring reads every passage of every document in one pass without a shuffle.
 
 Defined cases: null and empty texts are one empty passage, scored as such; labels that are null are
@@ -34,6 +35,7 @@ PASSAGE_BYTES = 640
 BUCKETS = 256
 HIDDEN = 24
 MAX_LABELLED = 3000
+MAX_LABELLED_BYTES = 64_000
 EPOCHS = 120
 THRESHOLD = 0.35
 
@@ -178,25 +180,29 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_lab
         .limit(max_labelled)
     )
     text = docs.select(named(docs, "doc_id").alias("doc_id"), named(docs, "text").alias("text"))
+    long = F.coalesce(F.octet_length("text") > MAX_LABELLED_BYTES, F.lit(False))
+    text = text.withColumn("long", long).withColumn("text", F.when(~F.col("long"), F.col("text")))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d, count, x in passages(batch.column("text")):
                 ends = np.cumsum(count)
-                bags = [x[b - n : b].astype(np.float16).tobytes() for n, b in zip(count, ends)]
                 rows = batch.slice(d, len(count))
+                bags = [None if no else x[b - n : b].astype(np.float16).tobytes() for n, b, no in zip(count, ends, rows.column("long").to_pylist())]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), pa.array(bags, pa.binary())], names=["doc_id", "y", "x"])
 
     rows = text.join(F.broadcast(chosen), "doc_id").mapInArrow(encoded, "doc_id long, y double, x binary").toArrow()
     ids, y = (np.asarray(rows.column(c)) for c in ("doc_id", "y"))
     if not len(y):
         return None, 0.5
-    if (y < 0.5).all() or (y >= 0.5).all():
-        return None, float(y.mean())
-    bags = rows.column("x").to_pylist()
+    mean, bags = float(y.mean()), rows.column("x").to_pylist()
+    some = np.array([b is not None for b in bags])
+    if (y[some] < 0.5).all() or (y[some] >= 0.5).all():
+        return None, mean
+    ids, y, bags = ids[some], y[some], [b for b in bags if b is not None]
     order = sorted(range(len(y)), key=lambda i: (ids[i], y[i], bags[i]))
     xs = [np.frombuffer(bags[i], np.float16).reshape(-1, WIDTH).astype(np.float32) for i in order]
-    return fit(np.concatenate(xs), np.array([len(x) for x in xs]), y[order].astype(np.float32)), float(y.mean())
+    return fit(np.concatenate(xs), np.array([len(x) for x in xs]), y[order].astype(np.float32)), mean
 
 
 def score(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
