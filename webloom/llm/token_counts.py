@@ -66,7 +66,7 @@ def counter():
         for pieces in batches:
             yield frequencies(pieces)
 
-    return F.arrow_udf(frugal(run), COUNTED)
+    return F.arrow_udf(frugal(run), COUNTED).asNondeterministic()  # else what Spark filters before an explode calls it once more
 
 
 def count_tokens(docs: DataFrame, *, vocabulary: str = VOCABULARY, head: int = HEAD, head_bytes: int = HEAD_BYTES) -> DataFrame:
