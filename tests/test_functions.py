@@ -41,6 +41,25 @@ def test_tree_construction():
     assert parse_html("").outer().count("<body>") == 1
 
 
+@pytest.mark.parametrize(
+    ("source", "body"),
+    [
+        ("<table><tr><td>1</table>", "<table><tbody><tr><td>1</td></tr></tbody></table>"),
+        ("<table><td>1<td>2", "<table><tbody><tr><td>1</td><td>2</td></tr></tbody></table>"),
+        ("a<table>b<tr><td>c</td>d</tr></table>e", "abd<table><tbody><tr><td>c</td></tr></tbody></table>e"),
+        ("<table><tr><div>x</div><td>y", "<div>x</div><table><tbody><tr><td>y</td></tr></tbody></table>"),
+        ("<table><b>x<tr><td>y</table>", "<b>x</b><table><tbody><tr><td>y</td></tr></tbody></table>"),
+        ("<table><caption>c<tr><td><p>1<td>2<thead><tr><th>h", "<table><caption>c</caption><tbody><tr><td><p>1</p></td><td>2</td></tr></tbody><thead><tr><th>h</th></tr></thead></table>"),
+        ("<table> <tr> <td><table><tr><td>in</table>out", "<table> <tbody><tr> <td><table><tbody><tr><td>in</td></tr></tbody></table>out</td></tr></tbody></table>"),
+        ("<svg><path d=1 /><g><circle/></g></svg><p>x", '<svg><path d="1"></path><g><circle></circle></g></svg><p>x</p>'),
+        ("<svg><g><p>x", "<svg><g></g></svg><p>x</p>"),
+        ("<svg><foreignObject><p>x</p></foreignObject><a/></svg>y", "<svg><foreignobject><p>x</p></foreignobject><a></a></svg>y"),
+    ],
+)
+def test_tables_and_foreign_content(source, body):
+    assert select(parse_html(source), "body")[0].outer() == f"<body>{body}</body>"
+
+
 def test_xpath_and_xml():
     assert run("<root><h1>Hello</h1></root>", "xpath", "//h1") == ["Hello"]
     assert run("<items><item id='42'>post</item></items>", "xml", "//item", "attr", "id") == ["42"]

@@ -1,8 +1,9 @@
 """HTML trees and CSS selectors, one parse for all selectors of a page.
 
 Covered: void, raw-text and RCDATA elements, entities, implied ends of p, li, dd, dt, option, table
-parts, synthesis of html, head and body, reconstruction of unclosed formatting elements. Foster
-parenting, templates and foreign content are not.
+parts, synthesis of html, head, body, tbody and tr, reconstruction of unclosed formatting elements, foster
+parenting of what a table can't hold, and in svg and math self-closing elements and the HTML elements that end
+them. A template's content is its children; upper-case letters of svg names are not restored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,14 @@ IMPLIED = {
     "thead": (("td", "th", "tr", "tbody", "thead", "tfoot"), ("table",)),
     "tfoot": (("td", "th", "tr", "tbody", "thead", "tfoot"), ("table",)),
 }
+TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
+CELLS = frozenset(("td", "th", "caption"))
+#: What stays where it is in a table part.
+IN_TABLE = frozenset("caption colgroup col tbody thead tfoot tr td th script style template".split())
+FOREIGN = frozenset(("svg", "math"))
+#: What can be in no foreign element and ends it; inside these two HTML goes on.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+INTEGRATION = frozenset(("foreignobject", "desc", "title", "annotation-xml", "mtext", "mi", "mo", "mn", "ms"))
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|$)|(?P<other>[!?][^>]*)>?|/(?P<end>[A-Za-z][^\s/>]*)[^>]*>?|(?P<start>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
@@ -99,6 +108,50 @@ class _Builder:
         parent.children.append(node)
         return node
 
+    def place(self, node) -> None:
+        """Put a node or a text where it belongs: as the last of the open element or, if that is a table part that
+        can't hold it, before the table."""
+        top = self.stack[-1]
+        text = isinstance(node, str)
+        if top.tag not in TABLE_PARTS or (not node.strip() if text else node.tag in IN_TABLE or (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden")):
+            parent, at = top, len(top.children)
+        else:
+            table = next(n for n in reversed(self.stack) if n.tag == "table" or n is self.html)
+            parent = table.parent if table.tag == "table" else top
+            at = next((i for i, c in enumerate(parent.children) if c is table), len(parent.children))
+        if text:
+            if at and isinstance(parent.children[at - 1], str):
+                parent.children[at - 1] += node
+            else:
+                parent.children.insert(at, node)
+        else:
+            node.parent = parent
+            parent.children.insert(at, node)
+
+    def table_part(self, tag: str) -> None:
+        """Back to the table part that tag is to be in, making those that are left out."""
+        for i in range(len(self.stack) - 1, 1, -1):
+            if self.stack[i].tag in TABLE_PARTS:
+                del self.stack[i + 1 :]
+                break
+            if self.stack[i].tag in ("td", "th"):
+                return
+        wanted = ["tbody", "tr"] if tag in ("td", "th") else ["tbody"] if tag == "tr" else []
+        for part in wanted:
+            if self.stack[-1].tag == "table" if part == "tbody" else self.stack[-1].tag in ("tbody", "thead", "tfoot"):
+                made = Node(part, {})
+                self.place(made)
+                self.stack.append(made)
+
+    def foreign(self) -> bool:
+        """Whether the open element is in svg or math."""
+        for n in reversed(self.stack):
+            if n.tag in FOREIGN:
+                return True
+            if n.tag in INTEGRATION or n is self.body:
+                return False
+        return False
+
     def in_body(self) -> None:
         if self.body is None:
             self.body = self._append(self.html, Node("body", {}))
@@ -113,17 +166,25 @@ class _Builder:
             self.in_body()
         if self.body is not None:
             self.reconstruct()
-        top = self.stack[-1].children
-        if top and isinstance(top[-1], str):
-            top[-1] += s
-        else:
-            top.append(s)
+        self.place(s)
 
-    def reconstruct(self) -> None:
+    def bounded(self) -> int:
+        """Where the formatting elements of the open cell or caption begin; those of closed ones are forgotten."""
+        begin = 0
         for i, n in enumerate(self.active):
-            if n not in self.stack:
+            if n.tag in CELLS:
+                if n not in self.stack:
+                    del self.active[i:]
+                    break
+                begin = i + 1
+        return begin
+
+    def reconstruct(self) -> None:
+        for i in range(self.bounded(), len(self.active)):
+            if self.active[i] not in self.stack:
                 for j in range(i, len(self.active)):
-                    clone = self._append(self.stack[-1], Node(self.active[j].tag, dict(self.active[j].attrs)))
+                    clone = Node(self.active[j].tag, dict(self.active[j].attrs))
+                    self.place(clone)
                     self.stack.append(clone)
                     self.active[j] = clone
                 return
@@ -147,23 +208,36 @@ class _Builder:
             return None
         if self.body is None and tag not in HEAD:
             self.in_body()
+        if self.foreign():
+            if tag in BREAKOUT:
+                while self.foreign():
+                    self.stack.pop()
+            else:
+                node = Node(tag, attrs)
+                self.place(node)
+                if not closed:
+                    self.stack.append(node)
+                return None
         if tag in IMPLIED:
             tags, fences = IMPLIED[tag]
             for _ in range(3 if len(tags) > 2 else 1):
                 self.pop_to(tags, fences)
+        if tag in IN_TABLE and tag not in HEAD:
+            self.table_part(tag)
         if tag in CLOSES_P:
             self.pop_to(("p",), ("button", "td", "th", "table", "caption", "object"))
         if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", self.stack[-1].tag):
             self.stack.pop()
         if tag == "a":
-            self.end("a") if any(n.tag == "a" for n in self.active) else None
+            self.end("a") if any(n.tag == "a" for n in self.active[self.bounded() :]) else None
         if self.body is not None and tag not in CLOSES_P and tag not in IMPLIED and tag not in HEAD:
             self.reconstruct()
-        node = self._append(self.stack[-1], Node(tag, attrs))
-        if tag in VOID:
+        node = Node(tag, attrs)
+        self.place(node)
+        if tag in VOID or (closed and tag in FOREIGN):
             return None
         self.stack.append(node)
-        if tag in FORMATTING:
+        if tag in FORMATTING or tag in CELLS:  # a cell bounds what is begun anew in it
             self.active.append(node)
         return node
 
@@ -176,7 +250,7 @@ class _Builder:
             self.start("br", {}, True)
             return
         if tag in FORMATTING:
-            for i in range(len(self.active) - 1, -1, -1):
+            for i in range(len(self.active) - 1, self.bounded() - 1, -1):
                 if self.active[i].tag == tag:
                     node = self.active.pop(i)
                     if node in self.stack:
@@ -217,7 +291,7 @@ def parse_html(source: str) -> Node:
             attrs: dict[str, str] = {}
             for a in _ATTR.finditer(m["attrs"] or ""):
                 attrs.setdefault(a[1].lower(), html.unescape(next((v for v in a.groups()[1:] if v is not None), "")))
-            node = b.start(tag, attrs, False)
+            node = b.start(tag, attrs, (m["attrs"] or "").endswith("/"))
             if node is not None and tag in RAW | RCDATA:
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 inner = source[at : close.start() if close else len(source)]
