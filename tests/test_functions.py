@@ -16,8 +16,8 @@ def run(text, kind, selector, how="node", arg=""):
 
 
 def test_css_projections():
-    assert run("<h1 class='title'> Hello </h1>", "css", "h1.title::text") == ["Hello"]
-    assert run("<a class='link' href='/detail'>post</a>", "css", "a.link::attr(href)") == ["/detail"]
+    assert run("<h3 class='price'> 12 EUR </h3>", "css", "h3.price::text") == ["12 EUR"]
+    assert run("<a class='next' href='/shelf/2'>on</a>", "css", "a.next::attr(href)") == ["/shelf/2"]
     assert run("<p>a<b> b</b></p>", "css", "p", "html") == ["<p>a<b> b</b></p>"]
     assert run("<i>x</i><i title='t'>y</i>", "css", "i", "attr", "title") == ["t"]
     assert run("<a>x</a>", "css", "a::text, b::text") == []  # a suffix counts at the end only
@@ -61,8 +61,8 @@ def test_tables_and_foreign_content(source, body):
 
 
 def test_xpath_and_xml():
-    assert run("<root><h1>Hello</h1></root>", "xpath", "//h1") == ["Hello"]
-    assert run("<items><item id='42'>post</item></items>", "xml", "//item", "attr", "id") == ["42"]
+    assert run("<shop><name>Lamp</name></shop>", "xpath", "//name") == ["Lamp"]
+    assert run("<bag><thing no='7'>cup</thing></bag>", "xml", "//thing", "attr", "no") == ["7"]
     assert run("<s>a<b> </b>z</s>", "xml", "/s", "text") == ["a", "", "z"]
     assert run("<p>unclosed", "xpath", "//p") == []
     assert run("<a/>", "xpath", "//a[") == []
@@ -71,7 +71,7 @@ def test_xpath_and_xml():
 
 
 def test_json():
-    assert run('{"data":{"id":42}}', "json", "$.data.id") == ["42"]
+    assert run('{"cart":{"sum":19}}', "json", "$.cart.sum") == ["19"]
     assert json_select('{"*":1}', "$.*") == (True, 1.0)
     assert run('{"a":[1]}', "json", "$.a[-1]") == [] and run("{", "json", "$") == []
     assert stringify([1.0, "a", None]) == '["1","a"]'
@@ -79,8 +79,8 @@ def test_json():
 
 
 def test_regex():
-    assert run("article_id=abc123", "regex", r"article_id=(\w+)", "all") == ["article_id=abc123"]
-    assert run("article_id=abc123", "regex", r"article_id=(\w+)", "group", "1") == ["abc123"]
+    assert run("order no=x17.", "regex", r"no=(\w+)", "all") == ["no=x17"]
+    assert run("order no=x17.", "regex", r"no=(\w+)", "group", "1") == ["x17"]
     assert run("b", "regex", "(a)?(b)", "group", "1") == ["b"]  # the group that took no part is gone
     assert run("ab", "regex", "a(?=b)", "all") == [] and to_java("a(?=b)") is None
     assert to_python("a$").search("a\n") is None
