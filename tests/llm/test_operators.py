@@ -562,15 +562,15 @@ def test_similar_equals_intersections():
         assert list(zip(*(x.tolist() for x in got))) == want
 
 
-@pytest.mark.parametrize(("stars", "small", "centres"), [(0, 0, 1), (0, 0, 8), (2, 0, 8), (0, 1000, 8), (1, 20, 2)])
-def test_all_rounds_and_cluster_components(spark, monkeypatch, stars, small, centres):
+@pytest.mark.parametrize(("stars", "block"), [(0, 1), (0, 5), (2, 3), (1, 1000)])
+def test_all_rounds_and_cluster_components(spark, monkeypatch, stars, block):
     common_part = " ".join(f"c{i}" for i in range(30))  # one bucket, several components
     texts = families(4, 8) + [f"{common_part} {' '.join(f'p{j}x{i // 3}' for i in range(60))}" for j in range(12)] * 2
     monkeypatch.setattr(circulant_minhash, "MAX_LOCAL_EDGES", 0)
     for name, value in (("HOT_ROWS", 2), ("HOT_KEYS", 10**9)):
         monkeypatch.setattr(common, name, value)
     monkeypatch.setattr(circulant_minhash, "HOT_PAIRS", 3)
-    got = {r.doc_id: r.group_id for r in circulant_minhash.groups(documents(spark, texts), stars=stars, small=small, centres=centres).collect()}
+    got = {r.doc_id: r.group_id for r in circulant_minhash.groups(documents(spark, texts), stars=stars, block=block).collect()}
     assert got == brute_groups(texts)
 
 

@@ -6,19 +6,17 @@ pi[(sigma(x) + k) mod UNIVERSE], that is pi shifted circularly by k. BANDS bands
 give candidates; the exact Jaccard similarity of their shingle sets decides.
 
 Groups are the connected components of the pairs that share a band and reach the threshold. Copies of
-a text are one node from the start, the text's least doc_id, and only that row is banded. So that a
-bucket of n texts does not cost n * n comparisons, buckets are resolved in rounds. In the first every
-member is compared with the bucket's least document. In the next ones a bucket whose members are not
-yet in one component goes on. In STAR_ROUNDS of them each member that is not in the bucket's largest
-component is compared with one document of that. Then what is left of a bucket goes on: a small one
-(SMALL_BUCKET members and SMALL_SHINGLES in all at most) is brought to one task with its members' sets, whose
-common shingles are counted by a product of matrices, which finishes it; a larger one with the pairs of a member and a centre of another
-component. Its centres are CENTRES of the members that are not in its largest component, in later rounds
-more, MOST_CENTRES at most. A centre that has met all members leaves the bucket. When no bucket is left, every pair
-of a bucket was compared or is in one component, so the result is that of comparing all candidates.
-Sets of which one has less than ``threshold`` of the other's size can't reach it and are not compared.
-No bucket is brought together in one task: least documents, components and centres are aggregates
-that combine before they move, and the rows of a hot bucket, text or centre are spread.
+a text are one node from the start, the text's least doc_id, and only that row is banded. Buckets are resolved in
+few rounds. In the first every member is compared with the bucket's least document. In STAR_ROUNDS more each
+member that is not in its bucket's largest component is compared with one document of that. Then, in the buckets
+whose members are still not in one component, all members are compared with those outside the largest one: the
+bucket is cut into blocks by hash, of BLOCK_DOCS documents and BLOCK_SHINGLES shingles about, and two blocks at a
+time are brought to a task with their sets, whose common shingles are counted by a product of matrices. So a set
+travels once for each block that it meets, not for each document; and as what is in one component needs no
+comparison, the result is that of comparing all candidates. No bucket is brought together in one task: least
+documents and components are aggregates that combine before they move, and the rows of a hot bucket, text or
+centre are spread. In the first rounds, sets of which one has less than ``threshold`` of the other's size can't
+reach it and are not compared.
 
 Shingles are runs of SHINGLE lower-case words (a shorter text is one shingle), as 64-bit hashes.
 
@@ -39,7 +37,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from webloom.llm.common import MAX_BROADCAST_ROWS, named, sized, small_batches, spread, stored
 from webloom.llm.wordpieces import encode_runs, flat_bytes, frugal, spans_of, text_slices, _SPACE
@@ -49,10 +46,9 @@ BANDS = 40
 ROWS = 4
 UNIVERSE = 1 << 20
 THRESHOLD = 0.5
-STAR_ROUNDS = 1
-SMALL_BUCKET = 256
-SMALL_SHINGLES = 2_000_000
-CENTRES, MOST_CENTRES = 32, 512
+STAR_ROUNDS = 2
+BLOCK_DOCS = 512
+BLOCK_SHINGLES = 1_000_000
 #: Pairs of a document, at least, for which its shingle set is sent to several tasks.
 HOT_PAIRS = 10_000
 #: Edges that one task may join into components; beyond it the components are iterated over the cluster.
@@ -199,7 +195,7 @@ def _iterate(edges: DataFrame) -> DataFrame:
     return labels.union(labels.select(F.col("label").alias("node"), "label").distinct())
 
 
-def groups(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, stars: int = STAR_ROUNDS, small: int = SMALL_BUCKET, centres: int = CENTRES) -> DataFrame:
+def groups(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, stars: int = STAR_ROUNDS, block: int = BLOCK_DOCS) -> DataFrame:
     """doc_id, group_id for every document that has a duplicate; group_id is the least doc_id."""
     small_batches(docs.sparkSession)
     texts = docs.select(named(docs, "doc_id").cast("long").alias("doc_id"), named(docs, "text").alias("text")).filter("text is not null and doc_id is not null")
@@ -226,7 +222,7 @@ def groups(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = SHINGL
     sizes = stored(sizes, "near-sizes")
     alive = members.filter("doc != centre").select("key", "doc").join(sizes.select(F.col("doc_id").alias("doc"), F.col("most").cast("long").alias("size")), "doc")
     alive, pairs, seen, r = stored(alive, "near-alive"), members.filter("doc != centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")), None, 0
-    while True:
+    for r in range(stars + 1):
         new = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"])
         new = new if seen is None else new.join(seen, ["lo", "hi"], "left_anti")
         new = stored(_of_like_sizes(new, sizes, threshold).select("a", "b", "lo", "hi"), f"near-pairs{r}")
@@ -234,16 +230,13 @@ def groups(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = SHINGL
         checked = stored(_verify(new.select("a", "b"), sets), f"near-checked{r}")
         found = found.unionByName(checked.filter(F.col("j") >= threshold).select("a", "b"))
         labels = stored(components(found), f"near-labels{r}")
-        going_on = _open(alive.select("key", "doc", "size"), labels, r, small, 0 if r < stars else min(centres * 4 ** (r - stars), max(centres, MOST_CENTRES)))
-        r += 1
-        if going_on is None:
-            break
-        alive, pairs, few = going_on
-        if few is not None:
-            found = found.unionByName(stored(_within(few, sets, threshold), f"near-within{r}"))
+        alive = _open(alive, labels, r)
         if alive is None:
-            labels = stored(components(found), f"near-labels{r}")
             break
+        pairs = alive.filter("label != top").select(F.col("head").alias("a"), F.col("doc").alias("b"))
+    else:
+        found = found.unionByName(stored(_in_blocks(alive, sets, threshold, block), "near-blocks"))
+        labels = stored(components(found), "near-labels")
 
     per_node = stored(copied.groupBy("node").agg(F.sum("docs").alias("docs")).join(labels, "node", "left").select("node", "docs", F.coalesce("label", "node").alias("group_id")), "near-nodes")
     of_copies = spread(copies.select("doc_id", "node"), per_node, "node", "docs", "doc_id").select("doc_id", "group_id")
@@ -289,36 +282,33 @@ def _of_like_sizes(pairs: DataFrame, sizes: DataFrame, threshold: float) -> Data
     return met.filter((F.col("ma") >= threshold * F.col("lb")) & (F.col("mb") >= threshold * F.col("la")))
 
 
-def _open(alive: DataFrame, labels: DataFrame, r: int, small: int, centres: int) -> tuple[DataFrame, DataFrame, DataFrame | None] | None:
-    """(members that go on after this round, pairs of this round, members of small buckets) of the buckets whose
-    members are not yet in one component; None if there is none, None for the first two if all are small. In a pair of a centre and a member the
-    centre is a. Without centres it is a star round."""
-    labelled = alive.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "size", F.coalesce("label", "doc").alias("label"))
-    per = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min_by("doc", F.xxhash64("doc", F.lit(r))).alias("head"))
-    per = per.groupBy("key").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "label", "head")).alias("top"), F.count("*").alias("labels"))
-    per = stored(per.filter("labels > 1").select("key", "n", "shingles", F.col("top.label").alias("top"), F.col("top.head").alias("head")), f"near-open{r}")
+def _open(alive: DataFrame, labels: DataFrame, r: int) -> DataFrame | None:
+    """Members of the buckets that are not yet in one component: key, doc, size, label; of the bucket n, shingles,
+    top (its largest component) and head (a document of that). None if there is none. Of buckets with the
+    same members one goes on."""
+    labelled = alive.select("key", "doc", "size").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "size", F.coalesce("label", "doc").alias("label"))
+    marks = {f"x{i}": F.xxhash64("doc", F.lit(i)) for i in (1, 2)}
+    per = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min_by("doc", F.xxhash64("doc", F.lit(r))).alias("head"), *(F.bit_xor(m).alias(k) for k, m in marks.items()))
+    per = per.groupBy("key").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "label", "head")).alias("top"), F.count("*").alias("labels"), *(F.bit_xor(k).alias(k) for k in marks))
+    per = per.filter("labels > 1").groupBy("n", *marks).agg(F.min(F.struct("key", "shingles", "top")).alias("b"))
+    per = stored(per.select("b.key", "n", "b.shingles", F.col("b.top.label").alias("top"), F.col("b.top.head").alias("head")), f"near-open{r}")
     if per.isEmpty():
         return None
-    going = stored(spread(labelled, per, "key", "n", "doc"), f"near-going{r}")
-    if not centres:
-        return going, going.filter("label != top").select(F.col("head").alias("a"), F.col("doc").alias("b")), None
-    fits = (F.col("n") <= small) & (F.col("shingles") <= SMALL_SHINGLES)
-    few, many = going.filter(fits), going.filter(~fits)
-    if many.isEmpty():
-        return None, None, few
-    order = Window.partitionBy("key").orderBy(F.xxhash64("doc", F.lit(r)), "doc")  # a limit in each task comes before the shuffle
-    heads = many.filter("label != top").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= centres)
-    heads = stored(heads.groupBy("key").agg(F.collect_list(F.struct("doc", "label")).alias("heads"), F.max("n").alias("n")), f"near-heads{r}")
-    met = stored(spread(many.select("key", "doc", "size", "label"), heads, "key", "n", "doc"), f"near-met{r}")
-    h = met.select("doc", "label", F.explode("heads").alias("h")).filter("h.label != label")
-    return met.filter(~F.array_contains("heads.doc", F.col("doc"))), h.select(F.col("h.doc").alias("a"), F.col("doc").alias("b")), few
-
-
-def _within(few: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b of different components that reach the threshold, of the members of small buckets; equal buckets count once."""
-    lists = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc", "label"))).alias("m")).dropDuplicates(["m"])
-    member = lists.select("key", F.explode("m").alias("x")).select("key", "x.doc", "x.label")
-    whole = member.join(sets.withColumnRenamed("doc_id", "doc"), "doc").groupBy("key").agg(F.collect_list(F.struct("doc", "label", "s")).alias("m"))
+    return stored(spread(labelled, per, "key", "n", "doc"), f"near-going{r}")
+
+
+def _in_blocks(alive: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """a, b of different components that reach the threshold, of all members of a bucket and those outside its
+    largest component. Tile (i, j) has the latter of block i and the former of block j."""
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    member = alive.withColumn("blocks", blocks).withColumn("own", own)
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    tile = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    outside = F.when(F.col("label") != F.col("top"), F.transform(every, lambda j: tile(F.col("own"), j)))
+    tiles = F.array_distinct(F.concat(F.transform(every, lambda i: tile(i, F.col("own"))), F.coalesce(outside, F.array().cast("array<struct<i:int,j:int>>"))))
+    member = member.select("key", "doc", "label", F.explode(tiles).alias("t")).select("key", "doc", "label", "t.i", "t.j")
+    whole = member.join(sets.withColumnRenamed("doc_id", "doc"), "doc").groupBy("key", "i", "j").agg(F.collect_list(F.struct("doc", "label", "s")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
