@@ -226,7 +226,7 @@ def feed(column) -> Feed:
 
 def register(spark: SparkSession) -> None:
     """SQL functions css(html, selector, attribute), xpath_all(xml, expression), regex_all(text,
-    pattern), json_one(json, path), feed_items(xml)."""
+    pattern), json_all(json, path), xml_all(xml, expression), feed_items(xml)."""
 
     def arrays(kind: str, with_attribute: bool = False):
         def each(texts: pa.Array, selectors: pa.Array, attributes: pa.Array | None) -> pa.Array:
