@@ -286,6 +286,23 @@ def test_notices_over_lines(text, expected):
     assert licenses.scan(f"x\n\n  y\n# SPDX-License-Identifier: ISC\n{text}") == [("tag", "ISC"), ("notice", expected)]
 
 
+HEADERS = {
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction',
+    "BSD-3-Clause": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:",
+    "Apache-2.0": '// Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file except in compliance with the License.',
+    "GPL-3.0-or-later": "# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+    "GPL-2.0-or-later": "/* under the terms of the GNU General Public License\n * as published by the Free Software Foundation; either version 2\n * of the License, or (at your option) any later version. */",
+    "LGPL-2.1-or-later": "  modify it under the terms of the GNU Lesser General Public\n  License as published by the Free Software Foundation; either\n  version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the License",
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this file */",
+}
+
+
+@pytest.mark.parametrize("name", HEADERS)
+def test_headers_as_projects_have_them(name):
+    assert licenses.scan(f"#!/bin/sh\n\n{HEADERS[name]}\n\nimport x\n") == [("notice", name)]
+
+
 def test_scans(spark):
     texts = [None, "", "nothing", "x\n# SPDX-License-Identifier: (MIT OR GPL-3.0-only) -->\n", LONG + " Released under the MIT License. MIT license", "GNU Lesser General Public License, version 3", "SPDX-License-Identifier: MIT AND", "CC BY-NC-SA 4.0 and cc by-nc 4.0"]
     got = {r.doc_id: (r.licenses, r.n_tags, r.n_notices, r.verdict) for r in licenses.scans(documents(spark, texts)).collect()}
