@@ -197,11 +197,10 @@ def brute_score(model, text):
                 x[attention_mil.BUCKETS + kind] += 2 / len(bag)
         x[: attention_mil.BUCKETS] = [math.sqrt(v / max(len(bag), 1)) for v in x[: attention_mil.BUCKETS]]
         x[-1] = len(bag) / attention_mil.PASSAGE_BYTES
-        hid = [math.tanh(sum(x[i] * model.E[i][j] for i in range(len(x)) if x[i]) + model.e[j]) for j in range(len(model.e))]
-        t = [math.tanh(sum(hid[i] * model.V[i][j] for i in range(len(hid)))) for j in range(len(hid))]
-        g = [1 / (1 + math.exp(-sum(hid[i] * model.U[i][j] for i in range(len(hid))))) for j in range(len(hid))]
+        hid = np.tanh(np.array(x) @ model.E + model.e)
+        gate = 1 / (1 + np.exp(-(hid @ model.U)))
         hidden.append(hid)
-        energy.append(math.exp(sum(a * b * w for a, b, w in zip(t, g, model.w))))
+        energy.append(math.exp(sum(a * b * w for a, b, w in zip(np.tanh(hid @ model.V), gate, model.w))))
     z = [sum(a * h[j] for a, h in zip(energy, hidden)) / sum(energy) for j in range(len(model.e))]
     return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, model.c)) + float(model.b[0]))))
 
@@ -445,7 +444,8 @@ def brute_spans(text, items, n=8):
         m = min(n, len(w))
         phrases |= {tuple(w[i : i + m]) for i in range(len(w) - m + 1)} if m >= 4 else set()
     words, out = list(WORDS.finditer(text or "")), []
-    hits = sorted((i, i + len(p) - 1) for p in phrases for i in range(len(words) - len(p) + 1) if tuple(x.group().lower() for x in words[i : i + len(p)]) == p)
+    low = [x.group().lower() for x in words]
+    hits = sorted((i, i + m - 1) for m in {len(p) for p in phrases} for i in range(len(words) - m + 1) if tuple(low[i : i + m]) in phrases)
     for a, b in hits:
         if out and a <= out[-1][1] + 1:
             out[-1][1] = max(out[-1][1], b)
