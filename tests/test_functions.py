@@ -1,8 +1,11 @@
 """Extraction without Spark: the fixtures of FIXTURES.md and the hazards."""
 
+import time
+
 import pytest
 
 from webloom.errors import RulesError
+from webloom.functions import feed
 from webloom.functions.dom import parse_html, select
 from webloom.functions.extract import Page, Spec
 from webloom.functions.feed import feed_items, feed_title
@@ -96,6 +99,27 @@ def test_feed():
     assert feed_items("") == [] and feed_title("") is None
 
 
+def _rss(n):
+    return "<rss><channel><title>All</title>" + "".join(f"<item><title>{i}</title><link>http://e/{i}</link><description><![CDATA[<i>s</i>]]></description></item>" for i in range(n)) + "</channel></rss>"
+
+
+def test_feed_time_grows_as_its_items():
+    times = []
+    for n in (5_000, 40_000):
+        began = time.process_time()
+        assert len(feed_items(_rss(n))) == n
+        times.append(time.process_time() - began)
+    assert times[1] < 24 * times[0]  # 8 in proportion, 64 by the square
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 18])
+def test_feed_in_chunks(monkeypatch, chunk):
+    monkeypatch.setattr(feed, "_CHUNK", chunk)
+    source = "<rss><title>T é</title><item><link href='a>b/'/><title>don't</title></item><item><guid x='/'>1</guid><link>c</link></item><item>"
+    assert feed_title(source) == "T é"
+    assert [(i["link"], i["title"], i["guid"]) for i in feed_items(source)] == [("a>b/", "don't", None), ("c", None, "1")]
+
+
 def _rules(**step):
     return {"steps": [{"id": "a", "impl": "dsl", **step}]}
 

@@ -10,6 +10,7 @@ import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, batched
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.functions.dom import parse_html, select
-from webloom.functions.feed import FIELDS, feed_items, feed_title
+from webloom.functions.feed import FIELDS, each_item, feed_title
 from webloom.functions.patterns import matches, nested, to_java, to_python
 from webloom.functions.values import json_select, json_text, stringify, trim, trim_column
 from webloom.functions.xmlpath import parse_xml, xpath_strings
@@ -190,15 +191,31 @@ def _column(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_ITEM = pa.struct([(f, pa.string()) for f in FIELDS])
+
+
+def _items(source: str) -> pa.Array:
+    """A feed's items; some thousands at a time are Python objects."""
+    return pa.concat_arrays([pa.array([], _ITEM), *(pa.array(some, _ITEM) for some in batched(each_item(source), 10_000))])
+
+
+def _lists(items: list[pa.Array]) -> pa.Array:
+    ends = accumulate(map(len, items), initial=0)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays([pa.array([], _ITEM), *items]))
+
+
 @functools.cache
 def _feed():
-    """One function for all that is asked of a feed, so that a text is parsed once."""
-    items = pa.list_(pa.struct([(f, pa.string()) for f in FIELDS]))
-    kind = pa.struct([("title", pa.string()), ("items", items)])
+    """One function for all that is asked of a feed: its text is parsed once, and once more as far as its title."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([{"title": feed_title(t), "items": feed_items(t)} for t in (x.as_py() or "" for x in batch)], kind)
+            titles, items = [], []
+            for text in batch:  # one feed at a time is a Python object
+                source = text.as_py() or ""
+                titles.append(feed_title(source))
+                items.append(_items(source))
+            yield pa.StructArray.from_arrays([pa.array(titles, pa.string()), _lists(items)], names=["title", "items"])
 
     return F.arrow_udf(run, T.StructType([T.StructField("title", T.StringType()), T.StructField("items", T.ArrayType(FEED_ITEM))]))
 
@@ -252,7 +269,7 @@ def register(spark: SparkSession) -> None:
         spark.udf.register(name, arrays(kind))
 
     def items(t: pa.Array) -> pa.Array:
-        return pa.array([feed_items(x or "") for x in t.to_pylist()], pa.list_(pa.struct([(f, pa.string()) for f in FIELDS])))
+        return _lists([_items(x.as_py() or "") for x in t])
 
     spark.udf.register("feed_items", F.arrow_udf(items, T.ArrayType(FEED_ITEM)))
 
