@@ -112,6 +112,15 @@ def test_feed_time_grows_as_its_items():
     assert times[1] < 24 * times[0]  # 8 in proportion, 64 by the square
 
 
+def test_feed_title_is_read_as_far_as_it_is(monkeypatch):
+    monkeypatch.setattr(feed, "_CHUNK", 1_000)
+    seen, events = [], feed._events
+    monkeypatch.setattr(feed, "_events", lambda source: (seen.append(e) or e for e in events(source)))
+    assert feed_title(_rss(1_000)) == "All"
+    assert [e[0] for e in seen] == ["start", "start", "start", "text"]
+    assert feed_title(_rss(1_000).replace("<title>All</title>", "")) is None  # those of items are not the feed's
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 1 << 18])
 def test_feed_in_chunks(monkeypatch, chunk):
     monkeypatch.setattr(feed, "_CHUNK", chunk)
