@@ -38,3 +38,17 @@ def test_oracles(spark):
                 wrong.append(name)
     assert not wrong
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_part_is_spread_over_the_cores(spark):
+    """Its file is one row group, which no split divides."""
+    from pyspark.sql import functions as F
+
+    from webloom.plans.queries import _part_xml
+    from webloom.tables import spread
+
+    assert _part_xml(spark, SF).select(F.spark_partition_id()).distinct().count() > 4
+    read = spark.read.parquet(f"{SF}/part.parquet")
+    many = read.repartition(100)
+    assert spread(many) is many and sorted(spread(read).collect()) == sorted(read.collect())

@@ -15,6 +15,7 @@ from webloom.operators import frontier as ops
 from webloom.plans import planner
 from webloom.plans.rules import compile_rules
 from webloom.sources.fetch import CorpusFetcher
+from webloom.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -228,7 +229,7 @@ def required_missing(spark, sf):
 
 
 def _part_xml(spark, sf):
-    return t(spark, sf, "part").select("p_partkey", "p_name", F.concat(F.lit('<p id="'), F.col("p_partkey").cast("string"), F.lit('"><n>'), F.col("p_name"), F.lit("</n></p>")).alias("xml"))
+    return spread(t(spark, sf, "part").select("p_partkey", "p_name")).select("p_partkey", "p_name", F.concat(F.lit('<p id="'), F.col("p_partkey").cast("string"), F.lit('"><n>'), F.col("p_name"), F.lit("</n></p>")).alias("xml"))
 
 
 @query("SELECT p_partkey, trim(p_name) AS name FROM part")
@@ -249,7 +250,7 @@ def xpath_function(spark, sf):
 @query("SELECT s_suppkey, 'a' || s_suppkey AS v FROM supplier UNION ALL SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT s_suppkey, 'z' FROM supplier")
 def xml_nested_text_nodes(spark, sf):
     xml = F.concat(F.lit("<s>a"), F.col("s_suppkey").cast("string"), F.lit("<b>"), F.col("s_name"), F.lit("</b>z</s>"))
-    return t(spark, sf, "supplier").select("s_suppkey", F.explode(X.xml(xml, "/s").text().all()).alias("v"))
+    return spread(t(spark, sf, "supplier").select("s_suppkey", "s_name")).select("s_suppkey", F.explode(X.xml(xml, "/s").text().all()).alias("v"))
 
 
 @query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS found FROM pages")

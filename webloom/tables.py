@@ -1,4 +1,5 @@
-"""Tables in the shared folder that spark.checkpoint.dir names: they outlive executors and cut lineage."""
+"""Tables in the shared folder that spark.checkpoint.dir names: they outlive executors and cut lineage. And
+tables as read, for steps that cost more than reading."""
 
 from __future__ import annotations
 
@@ -20,3 +21,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, in two parts a core at least. A file of short rows may be one row group of a million
+    rows, which no split divides: all that follows would be one task's."""
+    parts = 2 * table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= parts else table.repartition(parts)
