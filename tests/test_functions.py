@@ -44,6 +44,12 @@ def test_tree_construction():
     assert parse_html("").outer().count("<body>") == 1
 
 
+@pytest.mark.parametrize(("source", "text"), [("a&amp", "a&"), ("a&amp;&amp", "a&&"), ("a&am", "a&am"), ("a&", "a&"), ("a&ampb", "a&b"), ("a&amp;amp;", "a&amp;")])
+def test_references_without_semicolon(source, text):
+    for tag in ("title", "h1"):
+        assert run(f"<{tag}>{source}</{tag}>", "css", tag, "text") == [text]
+
+
 @pytest.mark.parametrize(
     ("source", "body"),
     [
